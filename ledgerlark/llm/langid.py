@@ -143,7 +143,7 @@ def identify(pages: DataFrame, labelled: DataFrame, key: str = "page_id", url: s
     host = counts("host").join(of_host, "host").join(domain, "domain").select("host", smoothed(F.col("n_host"), F.col("p_domain")).alias("p_host"))
     declared = counts("declared").select("declared", worth(F.col("n_declared")).alias("w_declared"))
     all_of = rows.join(host, "host").join(suffix.select("suffix", "w_suffix"), "suffix").join(declared, "declared")
-    z = plus(F.col("like"), F.transform("p_host", F.log), F.when(F.col("declared") == "", F.array(*[F.lit(0.0)] * size)).otherwise(F.col("w_declared")), F.col("w_suffix"))
+    z = plus(F.col("like"), F.transform("p_host", lambda p: F.log(p)), F.when(F.col("declared") == "", F.array(*[F.lit(0.0)] * size)).otherwise(F.col("w_declared")), F.col("w_suffix"))
     best = lambda a: F.get(names, (F.array_position(a, F.array_max(a)) - 1).cast("int"))
     flatly = F.array_max("like") == F.array_min("like")
     out = all_of.withColumn("post", normal(z))

@@ -118,7 +118,7 @@ def learn(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         rows = np.zeros(2, np.int64)
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got[y > 0, np.unique(text_terms(t, of))] += 1
+                got[int(y > 0), np.unique(text_terms(t, of))] += 1
                 rows[int(y > 0)] += 1
         at = np.flatnonzero(got.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(got[0, at], rows[0]), pa.int64()), pa.array(np.append(got[1, at], rows[1]), pa.int64())], ["term", "n0", "n1"])
