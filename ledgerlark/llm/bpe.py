@@ -11,12 +11,11 @@ import hashlib
 from functools import lru_cache
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Memo
-
 
 @lru_cache(4)
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -107,48 +106,214 @@ def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
     return ids
 
 
-class Codec:
-    """Encoder and decoder over one vocabulary. Results of short pre-tokens and of words are remembered, within a bound."""
-
-    SHORT = 64
+class Vocabulary:
+    """Ranks, and for every pair of tokens whose bytes together are a token that token's rank, as sorted arrays."""
 
-    def __init__(self, path: str, pattern: str, most: int = 250_000):
-        import regex
+    NONE = 1 << 30
 
+    def __init__(self, path: str):
         self.ranks = load_ranks(path)
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.longest = max(map(len, self.ranks), default=1)
-        self.find = regex.compile(pattern).findall
-        self.mixed = regex.compile(r"[\s\x1c-\x1f\x85][ ]|[ ][\s\x1c-\x1f\x85]").search
-        self.pieces = Memo(lambda p: merge(p.encode(), self.ranks, self.longest), most)
-        self.words = Memo(self._word, most)
-
-    def ids(self, text: str) -> list[int]:
-        out: list[int] = []
-        for p in self.find(text):
-            out += self.pieces[p] if len(p) <= self.SHORT else merge(p.encode(), self.ranks, self.longest)
+        pairs, get = [], self.ranks.get
+        for token, rank in self.ranks.items():
+            for i in range(1, len(token)):
+                left, right = get(token[:i]), get(token[i:])
+                if left is not None and right is not None:
+                    pairs.append((left << 32 | right, rank))
+        both = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        self.keys, self.values = np.append(both[:, 0], np.int64(2**62)), np.append(both[:, 1], self.NONE)
+        self.single = np.array([get(bytes([i]), -1) for i in range(256)], np.int64)
+
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.values[at], self.NONE)
+
+
+def merge_all(pieces: list[bytes], voc: Vocabulary) -> list[list[int]]:
+    """merge() for many pre-tokens through one rank queue: their positions stand end to end in one linked list, broken between
+    pre-tokens, and a bucket's live positions are merged together. Of equal pairs that overlap the leftmost go first. A pre-token in
+    which a merge makes a pair of lower rank than its own, so that the order inside a bucket could matter, is done again alone."""
+    out: list = [None] * len(pieces)
+    todo = []
+    for i, p in enumerate(pieces):
+        r = voc.ranks.get(p)
+        if r is None:
+            todo.append(i)
+        else:
+            out[i] = [r]
+    if not todo:
         return out
+    raw = np.frombuffer(b"".join([pieces[i] for i in todo]), np.uint8)
+    length = np.array([len(pieces[i]) for i in todo])
+    ends = np.cumsum(length)
+    n = len(raw)
+    token = voc.single[raw]
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[ends - 1] = -1
+    before[ends - length] = -1
+    now = np.full(n, voc.NONE)
+    some = np.flatnonzero(after >= 0)
+    now[some] = voc.pair_ranks(token[some], token[after[some]])
+    queue, odd = BatchQueue(), []
+
+    def push(at):
+        r = now[at]
+        at = at[np.argsort(r, kind="stable")]
+        r = now[at]
+        at = at[: np.searchsorted(r, voc.NONE)]
+        if len(at):
+            r = r[: len(at)]
+            cut = np.flatnonzero(r[1:] != r[:-1]) + 1
+            low = 0
+            for rank, high in zip(r[np.append(0, cut)].tolist(), [*cut.tolist(), len(at)], strict=True):
+                queue.push(rank, at[low:high])
+                low = high
+
+    push(some)
+    while queue.top:
+        rank, at, mixed = queue.pop()
+        at = at[now[at] == rank]  # the rest is stale
+        if len(at) > 1:
+            if mixed:
+                at = np.unique(at)
+            head = before[at]
+            head = (head < 0) | (now[head] != rank)
+            if not head.all():
+                queue.push(rank, at[~head])
+                at = at[head]
+        if not len(at):
+            continue
+        gone = after[at]
+        end = after[gone]
+        token[at] = rank
+        after[at] = end
+        now[gone] = voc.NONE
+        more = end >= 0
+        before[end[more]] = at[more]
+        left = before[at]
+        left = left[left >= 0]
+        fresh = np.unique(np.concatenate((at, left)))
+        follow = after[fresh]
+        got = np.full(len(fresh), voc.NONE)
+        more = follow >= 0
+        got[more] = voc.pair_ranks(token[fresh[more]], token[follow[more]])
+        now[fresh] = got
+        lower = got < rank
+        if lower.any():
+            odd.append(fresh[lower])
+        push(fresh)
+    starts = np.zeros(n, bool)  # of parts: what a walk from the pre-tokens' starts comes to
+    at = ends - length
+    while len(at):
+        starts[at] = True
+        at = after[at]
+        at = at[at >= 0]
+    ids = token[starts].tolist()
+    counts = np.add.reduceat(starts, ends - length, dtype=np.int64).tolist()
+    low = 0
+    for i, c in zip(todo, counts, strict=True):
+        out[i] = ids[low : low + c]
+        low += c
+    for k in set(np.searchsorted(ends, np.concatenate(odd), side="right").tolist()) if odd else ():
+        out[todo[k]] = merge(pieces[todo[k]], voc.ranks, voc.longest)
+    return out
+
+
+class BatchQueue(RankQueue):
+    """A rank queue whose buckets hold arrays of positions and are taken whole."""
+
+    __slots__ = ()
+
+    def push(self, rank: int, at: np.ndarray) -> None:
+        bucket = self.buckets.get(rank)
+        if bucket is None:
+            self.buckets[rank] = [at]
+            w = rank >> 8
+            self.words[w] = self.words.get(w, 0) | 1 << (rank & 255)
+            self.top |= 1 << w
+        else:
+            bucket.append(at)
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def pop(self) -> tuple[int, np.ndarray, bool]:
+        """Rank, positions, and whether they come from several pushes: then they are out of order or repeated."""
+        w = (self.top & -self.top).bit_length() - 1
+        word = self.words[w]
+        rank = w << 8 | (word & -word).bit_length() - 1
+        self.words[w] = word & (word - 1)
+        if not self.words[w]:
+            self.top &= self.top - 1
+        bucket = self.buckets.pop(rank)
+        return (rank, bucket[0], False) if len(bucket) == 1 else (rank, np.concatenate(bucket), True)
 
-    def _entry(self, text: str) -> tuple[str, int, bytes, list[int]]:
-        ids = self.ids(text)
-        return " ".join(map(str, ids)), len(ids), self.decode(ids), ids
 
-    def _word(self, word: str):
-        return self._entry(" " + word)
+class Codec:
+    """Encoder and decoder over one vocabulary. Results of short pre-tokens and of words are remembered up to `most` of each, beyond
+    what the texts at hand need."""
 
-    def entries(self, text: str) -> list[tuple[str, int, bytes, list[int]]]:
-        """The text's parts in order. Where each space stands alone between two other characters, a pre-token begins at each space
-        and nowhere else across it, so the words between spaces can be looked up one by one."""
-        if not text:
-            return []
-        if text[0] == " " or text[-1] == " " or self.mixed(text):
-            return [self._entry(text)]
-        parts = text.split(" ")
-        words, fresh, short = self.words, self._word, self.SHORT
-        return [self._entry(parts[0]), *[words[p] if len(p) <= short else fresh(p) for p in parts[1:]]]
+    SHORT, AT_ONCE = 64, 10_000_000
+    MARK = "\x0b"  # white space, and so a pre-token of its own between a word and the blank before the next
+
+    def __init__(self, path: str, pattern: str, most: int = 250_000, with_ids: bool = True):
+        import regex
+
+        self.voc, self.most, self.with_ids = Vocabulary(path), most, with_ids
+        self.find = regex.compile(pattern).findall
+        self.names = {i: str(i) for i in self.voc.bytes_of}
+        self.pieces: dict[str, list[int]] = {}
+        self.words: dict[str, tuple] = {}
+
+    def decode(self, ids) -> bytes:
+        return b"".join(map(self.voc.bytes_of.__getitem__, ids))
+
+    def _join(self, pieces: list[str]) -> tuple:
+        known, ids = self.pieces, []
+        for p in pieces:
+            ids += known[p] if len(p) <= self.SHORT else merge(p.encode(), self.voc.ranks, self.voc.longest)
+        return " ".join(map(self.names.__getitem__, ids)), len(ids), self.decode(ids), tuple(ids) if self.with_ids else ()
+
+    def entries(self, texts: list[str]):
+        """For each text its parts in order, as (decimal ids joined by spaces, their number, the bytes they decode to, the ids).
+        Where each space stands alone between two other characters, a pre-token begins at each space and nowhere else across it, so
+        the words between spaces can be looked up one by one; other texts are one part."""
+        at = 0
+        while at < len(texts):
+            size, end = 0, at
+            while end < len(texts) and (end == at or size < self.AT_ONCE):
+                size += len(texts[end])
+                end += 1
+            yield from self._some(texts[at:end])
+            at = end
+
+    def _some(self, texts: list[str]):
+        if len(self.words) > self.most:
+            self.words.clear()
+        if len(self.pieces) > self.most:
+            self.pieces.clear()
+        split = [t.split(" ") for t in texts]
+        fresh = set().union(*[x[1:] for x in split]).difference(self.words)
+        uneven = {w for w in fresh if not w or w[0].isspace() or w[-1].isspace() or self.MARK in w}
+        fresh -= uneven
+        whole: list[tuple] = []
+        for t, x in zip(texts, split, strict=True):
+            even = len(x) == 1 or x[0] and not x[0][-1].isspace() and (not uneven or uneven.isdisjoint(x[1:]))
+            whole.append((self.find(x[0]), x) if even else (self.find(t), ()))
+        order = list(fresh)
+        found = self.find((self.MARK + " ").join(["", *order])) if order else []
+        wanted = set(found).union(*[pieces for pieces, _ in whole])
+        new = [p for p in wanted if len(p) <= self.SHORT and p not in self.pieces]
+        self.pieces.update(zip(new, merge_all([p.encode() for p in new], self.voc), strict=True))
+        at = 1
+        for w in order:
+            try:
+                end = found.index(self.MARK, at)
+            except ValueError:
+                end = len(found)
+            self.words[w] = self._join(found[at:end])
+            at = end + 1
+        for pieces, x in whole:
+            yield [self._join(pieces), *map(self.words.__getitem__, x[1:])]
 
 
 OUTPUTS = {
@@ -168,11 +333,10 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: lis
     schema = T.StructType([f for f in inner.schema.fields if f.name != "__text"] + [T.StructField(o, OUTPUTS[o], False) for o in outputs])
 
     def run(batches):
-        codec = Codec(path, pattern)
+        codec = Codec(path, pattern, with_ids="ids" in outputs)
         for batch in batches:
             got: dict[str, list] = {o: [] for o in outputs}
-            for text in batch.column(0).to_pylist():
-                e = codec.entries(text or "")
+            for e in codec.entries([t or "" for t in batch.column(0).to_pylist()]):
                 if "n_tokens" in got:
                     got["n_tokens"].append(sum([x[1] for x in e]))
                 if "ids" in got:
