@@ -1,4 +1,6 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, each with its SQL where SQL can say it."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .registry import ORACLES, QUERIES
+from . import calendar, listing, linking, pages  # noqa: F401, E402, I001
+
+__all__ = ["ORACLES", "QUERIES"]
