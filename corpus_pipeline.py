@@ -17,8 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays, the one with the smallest id."""
-    carry = [c for c in docs.columns if c != "doc_id"]
-    return neardup.classes(docs, carry=carry).where("keeper").select(*docs.columns)
+    return neardup.distinct(docs).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
