@@ -6,8 +6,8 @@ whole in one of them and the Jaccard similarity of the two stays at 0.3 or more
 are looked up among the items' minima of that class; equal ones make a candidate. A candidate's containment is then counted exactly:
 the share of the item's distinct shingles that the whole document has; 0.8 or more is a leak.
 
-Scale: documents are read once and never shuffled as text. What is broadcast are two bitmaps of BITS bits, whatever the number of
-items. Only documents with a hit leave the scan, with their hit keys and those of their shingles that the items' bitmap admits (a
+Scale: documents are read once and never shuffled as text. What is broadcast are two Bloom filters of BITS bits, whatever the number
+of items. Only documents with a hit leave the scan, with their hit keys and those of their shingles that the items' filter admits (a
 superset of all that counts); candidates meet items by an equi-join on the key.
 
 Defined results: null or empty texts match nothing; items of fewer than five words are one shingle of all their words and are sought
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import Memo, mix, shingles, token_hash, word_hashes, written
 
 SHINGLE, LEAST = 5, 0.8
-HASHES, BITS = 32, 1 << 22
+HASHES, BITS, PROBES = 32, 1 << 22, 3
 ODD = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -68,17 +68,42 @@ def read_items(items: DataFrame, item: str, text: str) -> DataFrame:
     return inner.mapInArrow(run, schema)
 
 
+def places(x: np.ndarray) -> list[np.ndarray]:
+    """PROBES bits of a 64-bit value."""
+    out = []
+    for _ in range(PROBES):
+        x = mix(x + np.uint64(0x9E3779B97F4A7C15))
+        out.append((x & np.uint64(BITS - 1)).astype(np.int64))
+    return out
+
+
 def bitmap(df: DataFrame, column: str) -> np.ndarray:
-    """BITS bits, set for the values of an array column; at most BITS numbers come to the driver."""
-    at = df.select(F.explode(column).alias("x")).select(F.pmod("x", F.lit(BITS)).cast("int").alias("x")).distinct().toPandas()["x"].to_numpy(np.int64)
+    """A Bloom filter of BITS bits over the values of an array column. Bits are found on the executors; at most BITS numbers come to
+    the driver."""
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(places(x))).astype(np.int32))], ["x"])
+
+    at = df.select(column).mapInArrow(run, "x int").distinct().toPandas()["x"].to_numpy(np.int64)
     bits = np.zeros(BITS // 8, np.uint8)
     np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
     return bits
 
 
 def has(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
-    at = x & np.uint64(BITS - 1)
-    return bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) > 0
+    """Which values the filter admits; later bits are looked up only for those that the earlier ones admit."""
+    left = np.arange(len(x))
+    y = x
+    for _ in range(PROBES):
+        y = mix(y + np.uint64(0x9E3779B97F4A7C15))
+        at = y & np.uint64(BITS - 1)
+        ok = bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1) > 0
+        left, y = left[ok], y[ok]
+    out = np.zeros(len(x), bool)
+    out[left] = True
+    return out
 
 
 def window_keys(s: np.ndarray, length: np.ndarray, k: int, bounds: list[int], hits: np.ndarray):
@@ -112,7 +137,7 @@ def window_keys(s: np.ndarray, length: np.ndarray, k: int, bounds: list[int], hi
 
 
 def read_documents(df: DataFrame, key: str, text: str, shapes: dict[int, list[int]], wanted, hits) -> DataFrame:
-    """Documents with a hit: id, row number, hit keys, shingles that the items' bitmap admits."""
+    """Documents with a hit: id, row number, hit keys, shingles that the items' filter admits."""
     inner = df.select(F.col(key).alias("__key"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("__text"))
     schema = T.StructType(inner.schema.fields[:2] + T._parse_datatype_string("keys array<long>, have array<long>").fields)
 
