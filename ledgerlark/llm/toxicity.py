@@ -28,6 +28,7 @@ SPACE, MODEL_TERMS, FACTORS = 1 << 20, 3072, 8
 PREFIXES = (4, 5, 6, 7)
 RATE, LEVELS = 150, 3
 EPOCHS, BATCH, STEP, DECAY = 12, 256, 0.05, 2e-4
+LEAST_STEPS = 300  # small samples get more epochs
 THRESHOLD = 0.3
 
 
@@ -76,8 +77,9 @@ class Machine:
         """rows: places in self.terms. Adagrad on the logistic loss."""
         rng, m = np.random.default_rng(11), len(self.terms)
         gw, gv, g0 = np.full(m, 1e-6, np.float32), np.full(self.v.shape, 1e-6, np.float32), 1e-6
-        for epoch in range(EPOCHS):
-            step = STEP if epoch < EPOCHS * 2 // 3 else STEP / 4
+        epochs = max(EPOCHS, -(-LEAST_STEPS // -(-len(rows) // BATCH)))
+        for epoch in range(epochs):
+            step = STEP if epoch < epochs * 2 // 3 else STEP / 4
             order = rng.permutation(len(rows))
             for at in range(0, len(order), BATCH):
                 batch = order[at : at + BATCH]
