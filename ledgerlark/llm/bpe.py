@@ -360,11 +360,12 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     """Add the bytes that an array of ids stands for; null for a null array."""
     schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, T.BinaryType())])
     at, names = df.columns.index(ids), [f.name for f in schema.fields]
+    kept = [i for i, c in enumerate(df.columns) if c != out]
 
     def run(batches):
         bytes_of = {v: k for k, v in load_ranks(path).items()}
         for batch in batches:
             raw = [None if x is None else b"".join(map(bytes_of.__getitem__, x)) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i, c in enumerate(df.columns) if c != out] + [pa.array(raw, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + [pa.array(raw, pa.binary())], names)
 
     return df.mapInArrow(run, schema)
