@@ -136,6 +136,16 @@ def window_keys(s: np.ndarray, length: np.ndarray, k: int, bounds: list[int], hi
                 yield docs[doc[ok]], key[ok]
 
 
+def known_only(each: list[np.ndarray], wanted: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Per text: its shingles, none if the items' filter admits none of them, and those that it admits. A minimum that equals an
+    item's is a shingle of that item, so a text without any has no candidate, and its windows need no minima."""
+    ends = np.cumsum([len(x) for x in each])
+    s = np.concatenate(each)
+    ok = has(wanted, s)
+    known = np.split(s[ok], np.searchsorted(np.flatnonzero(ok), ends[:-1]))
+    return [x if len(y) else x[:0] for x, y in zip(each, known, strict=True)], known
+
+
 def read_documents(df: DataFrame, key: str, text: str, shapes: dict[int, list[int]], wanted, hits) -> DataFrame:
     """Documents with a hit: id, row number, hit keys, shingles that the items' filter admits."""
     inner = df.select(F.col(key).alias("__key"), F.monotonically_increasing_id().alias("row"), F.col(text).cast("string").alias("__text"))
@@ -151,13 +161,16 @@ def read_documents(df: DataFrame, key: str, text: str, shapes: dict[int, list[in
                 have: dict[int, list] = {}
                 for k, bounds in shapes.items():
                     each = [shingles(w, k) if len(w) >= k else w[:0] for w in words]
+                    each, known = known_only(each, wanted.value)
                     length = np.array([len(x) for x in each], np.int64)
+                    here = set()
                     for docs, keys in window_keys(np.concatenate(each), length, k, bounds, hits.value):
                         for d, x in zip(docs.tolist(), keys.view(np.int64).tolist(), strict=True):
                             found.setdefault(d, set()).add(x)
-                    for d in found:
-                        u = np.unique(each[d])
-                        have.setdefault(d, []).append(u[has(wanted.value, u)].view(np.int64))
+                            here.add(d)
+                    # shingles of another word count never equal an item's of this one, so they are only of use where k itself has a hit
+                    for d in here:
+                        have.setdefault(d, []).append(np.unique(known[d]).view(np.int64))
                 order = sorted(found)
                 left = part.take(pa.array(order, pa.int64()))
                 columns = [pa.array([sorted(found[d]) for d in order], pa.list_(pa.int64())), pa.array([np.concatenate(have[d]) for d in order], pa.list_(pa.int64()))]
