@@ -10,6 +10,7 @@ import base64
 import hashlib
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -316,6 +317,7 @@ class Codec:
             yield [self._join(pieces), *map(self.words.__getitem__, x[1:])]
 
 
+ROWS = 1000  # encoded at a time, so that a task holds the ids of so many texts only
 OUTPUTS = {
     "n_tokens": T.LongType(),
     "ids": T.ArrayType(T.IntegerType(), False),
@@ -334,13 +336,13 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: lis
 
     def run(batches):
         codec = Codec(path, pattern, with_ids="ids" in outputs)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             got: dict[str, list] = {o: [] for o in outputs}
             for e in codec.entries([t or "" for t in batch.column(0).to_pylist()]):
                 if "n_tokens" in got:
                     got["n_tokens"].append(sum([x[1] for x in e]))
                 if "ids" in got:
-                    got["ids"].append([i for x in e for i in x[3]])
+                    got["ids"].append(np.fromiter(chain.from_iterable([x[3] for x in e]), np.int32))
                 if "ids_sha256" in got:
                     got["ids_sha256"].append(hashlib.sha256(" ".join([x[0] for x in e if x[1]]).encode()).hexdigest())
                 if "decoded" in got or "decoded_sha256" in got:
