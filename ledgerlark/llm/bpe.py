@@ -253,7 +253,7 @@ class Codec:
     """Encoder and decoder over one vocabulary. Results of short pre-tokens and of words are remembered up to `most` of each, beyond
     what the texts at hand need."""
 
-    SHORT, AT_ONCE = 64, 10_000_000
+    SHORT, AT_ONCE = 64, 3_000_000
     MARK = "\x0b"  # white space, and so a pre-token of its own between a word and the blank before the next
 
     def __init__(self, path: str, pattern: str, most: int = 250_000, with_ids: bool = True):
