@@ -5,10 +5,12 @@ and keeps them in text order; two texts with the same ordered picks share a buck
 not only with overlap. Candidates are verified by a banded alignment of the two shingle sequences: with L aligned equal shingles,
 similarity is L / (n + m - L), and 0.8 or more links them. Classes are the connected components of the links.
 
-Scale: equal texts collapse first (only digests are shuffled), so copies never meet in a bucket. In a bucket each text is paired with
-two leaders, the one that shares most buckets overall (the hub of its group) and one drawn by a hash of the bucket; never all pairs.
-A leader with many members is repeated over parts of at most PART_ROWS members or so, and each task streams members past one leader at
-a time. Components are found by alternating star contractions on tables; nothing is collected but two numbers a round.
+Scale: equal texts collapse first (only digests are shuffled), so copies never meet in a bucket. First each text of a bucket is paired
+with two leaders, the one that shares most buckets overall (the hub of its group) and one drawn by a hash of the bucket. A leader with
+many members is repeated over parts of at most PART_ROWS members or so, and each task streams members past one leader at a time. Then
+all pairs of a bucket that the leaders left in different components are tested: pair by pair where a bucket has at most SMALL texts, and
+by tiles, blocks of some PART_ROWS texts against blocks, in larger ones; a tile counts equal shingles first, which bounds the alignment
+from above. So texts that share a bucket are either linked by a chain or tested with each other. Components are found by alternating star contractions on tables; nothing is collected but two numbers a round.
 
 Defined results: a null text counts as empty; texts without words are equal if their characters are; texts of fewer than five words
 are one shingle; repeated rows are copies of each other; a class is named by the smallest id in it, null ids last.
@@ -29,7 +31,7 @@ from .common import Memo, mix, shingles, token_hash, word_hashes, written
 
 SHINGLE = 5
 SKETCHES, PICKS = 16, 3
-PART_ROWS = 512
+PART_ROWS, SMALL = 512, 32
 WORDS = 1 << 20  # of 64 bits each, in the filter of ids
 SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -161,11 +163,44 @@ class Leader:
         n, m = self.n, len(other)
         if not n or 5 * min(n, m) < 4 * max(n, m):
             return False
-        need = -(-4 * (n + m) // 9)  # the least L with L / (n + m - L) >= 4/5, in whole numbers
+        need = least(n, m)
         slack = n + m - 2 * need
         return self.aligned(other, slack) >= need
 
 
+def least(n, m):
+    """The least L with L / (n + m - L) >= 4/5, in whole numbers."""
+    return -(-4 * (n + m) // 9)
+
+
+def tested(ids: np.ndarray, roots: np.ndarray, sides: np.ndarray, seqs: list[np.ndarray]) -> list[tuple[int, int]]:
+    """The links of a tile between rows of side 0 and rows of side 1 (side 2: both) with different roots. A link makes its roots one, so
+    links that a chain already gives are left out; all else is tested."""
+    n = np.array([len(s) for s in seqs])
+    labelled = [mix(s.view(np.uint32).astype(np.uint64) + (occurrence(s) << np.uint64(32))) for s in seqs]
+    at = np.unique(np.concatenate(labelled), return_inverse=True)[1]
+    at = np.split(at, np.cumsum(n)[:-1])
+    right = np.flatnonzero(sides > 0)
+    flat, starts = np.concatenate([at[i] for i in right]), np.cumsum(n[right]) - n[right]
+    mark = np.zeros(max(int(a.max()) for a in at) + 1, bool)
+    roots, found = roots.copy(), []
+    for i in np.flatnonzero(sides != 1):
+        fit = (roots[right] != roots[i]) & (5 * np.minimum(n[right], n[i]) >= 4 * np.maximum(n[right], n[i]))
+        if sides[i] == 2:
+            fit &= ids[right] > ids[i]
+        if not fit.any():
+            continue
+        mark[at[i]] = True
+        fit &= np.add.reduceat(mark[flat], starts, dtype=np.int64) >= least(n[right], n[i])
+        mark[at[i]] = False
+        lead = Leader(seqs[i]) if fit.any() else None
+        for j in right[fit]:
+            if roots[j] != roots[i] and lead.similar(seqs[j]):
+                found.append((int(ids[i]), int(ids[j])))
+                roots[roots == roots[j]] = roots[i]
+    return found
+
+
 def place(id, seed: int = 0) -> tuple:
     """Word and bit of an id in a filter."""
     at = F.pmod(F.xxhash64(id, F.lit(seed)), F.lit(64 * WORDS))
@@ -183,17 +218,22 @@ def maybe(rows: DataFrame, id: str, ids: DataFrame, out: str, seed: int = 0) ->
     return rows.join(F.broadcast(bitmap), word == F.col("__word"), "left").withColumn(out, hit).drop("__word", "__bits")
 
 
+def dealt(roles: DataFrame, reps: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
+    """roles: id and other columns; reps: id, __digest and key of one row of each distinct text of df. The other columns and seq, the
+    sequence of the id's text. Sequences are made anew from the texts that have a role, so none are stored."""
+    cols = [c for c in roles.columns if c != "id"]
+    roles = written(roles.join(reps.select("id", "__digest", F.xxhash64("key").alias("__mark")), "id").drop("id"), "roles")
+    some = maybe(df.select(F.col(text), F.xxhash64(F.col(key)).alias("__mark")), "__mark", roles.select("__mark"), "__in").where("__in")
+    return sequences(some, "__mark", text).join(roles, ["__mark", "__digest"]).select(*cols, F.col("__seq").alias("seq"))
+
+
 def links(pairs: DataFrame, reps: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
-    """pairs: leader, member, parts; reps: id, __digest and key of one row of each distinct text of df. Those pairs whose alignment is
-    similar enough, as (u, v). Sequences are made anew from the texts that are in a pair, so none are stored."""
-    pairs = written(pairs, "pairs").withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
+    """pairs: leader, member, parts. Those pairs whose alignment is similar enough, as (u, v)."""
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
     leaders = pairs.select("leader", "parts", "part").distinct().withColumn("member", F.lit(-1).cast("long")).withColumn("id", F.col("leader"))
     cols = ["leader", "parts", "part", "member", "id"]
     roles = leaders.select(cols).unionByName(pairs.withColumn("id", F.col("member")).select(cols))
-    roles = written(roles.join(reps.select("id", "__digest", F.xxhash64("key").alias("__mark")), "id").drop("id"), "roles")
-    some = maybe(df.select(F.col(text), F.xxhash64(F.col(key)).alias("__mark")), "__mark", roles.select("__mark"), "__in").where("__in")
-    dealt = sequences(some, "__mark", text).join(roles, ["__mark", "__digest"]).select("leader", "parts", "part", "member", F.col("__seq").alias("seq"))
-    dealt = dealt.repartition("leader", "parts", "part").sortWithinPartitions("leader", "parts", "part", "member")
+    rows = dealt(roles, reps, df, key, text).repartition("leader", "parts", "part").sortWithinPartitions("leader", "parts", "part", "member")
 
     def run(batches):
         now, lead = None, None
@@ -213,14 +253,18 @@ def links(pairs: DataFrame, reps: DataFrame, df: DataFrame, key: str, text: str)
                     vs.append(member)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(run, "u long, v long")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """reps: __row, __n, __keys, one row a distinct text. Pairs (leader, member) with the number of parts to deal the leader's over."""
+def buckets(reps: DataFrame) -> DataFrame:
+    """reps: __row, __n, __keys, one row a distinct text. (key, id, n, c) for the buckets that more than one text shares."""
     at = reps.where("__n > 0").select(F.col("__row").alias("id"), F.col("__n").alias("n"), F.explode("__keys").alias("key"))
     shared = at.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    at = written(at.join(shared, "key"), "buckets")
+    return written(at.join(shared, "key"), "buckets")
+
+
+def candidates(at: DataFrame) -> DataFrame:
+    """Pairs (leader, member) of the buckets with the number of parts to deal the leader's over."""
     hub = at.groupBy("id").agg(F.sum("c").alias("hub"))
     ranked = at.join(hub, "id")
     one = F.struct("hub", (-F.col("id")).alias("id"), "n")
@@ -231,6 +275,55 @@ def candidates(reps: DataFrame) -> DataFrame:
     return pairs.groupBy("leader", "member").agg(F.ceil(F.max("c") / PART_ROWS).cast("int").alias("parts"))
 
 
+def apart(at: DataFrame, root: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Tiles that cover the pairs of the buckets whose texts have different roots, as rows (tile, i, j, side, id, root)."""
+    at = at.drop("c").join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    open = at.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    at = written(at.join(open.select("key", "c"), "key"), "apart")
+    side = lambda v: [F.col(f"{v}.{c}").alias(f"{v}_{c}") for c in ("id", "root")]
+    few = at.where(F.col("c") <= SMALL)
+    few = few.alias("u").join(few.alias("v"), "key").where("u.id < v.id and u.root != v.root and 5 * least(u.n, v.n) >= 4 * greatest(u.n, v.n)").select(*side("u"), *side("v")).distinct()
+    done = pairs.select(F.least("leader", "member").alias("u_id"), F.greatest("leader", "member").alias("v_id"))
+    few = few.join(done, ["u_id", "v_id"], "left_anti")
+    none = [F.lit(-1).alias("i"), F.lit(-1).alias("j")]
+    first = few.select(F.col("u_id").alias("tile"), *none, F.lit(0).alias("side"), F.col("u_id").alias("id"), F.col("u_root").alias("root")).distinct()
+    second = few.select(F.col("u_id").alias("tile"), *none, F.lit(1).alias("side"), F.col("v_id").alias("id"), F.col("v_root").alias("root"))
+    blocks = F.ceil(F.col("c") / PART_ROWS).cast("int")
+    many = at.where(F.col("c") > SMALL).withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    which = F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0).otherwise(1)
+    many = many.select(F.col("key").alias("tile"), F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), which.alias("side"), "id", "root")
+    return first.unionByName(second).unionByName(many)
+
+
+def missed(tiles: DataFrame, reps: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
+    """The links in the tiles, as (u, v)."""
+    tiles = tiles.withColumn("one", F.col("id"))
+    rows = dealt(tiles, reps, df, key, text).repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
+
+    def run(batches):
+        now, held = None, []
+
+        def out():
+            ids, roots, sides = (np.array([h[k] for h in held]) for k in range(3))
+            found = tested(ids, roots, sides, [h[3] for h in held]) if (sides != 1).any() and (sides > 0).any() else []
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], ["u", "v"])
+
+        for batch in batches:
+            c = [batch.column(n).to_pylist() for n in ("tile", "i", "j", "one", "root", "side")]
+            seqs = batch.column("seq")
+            flat, ends = seqs.values.to_numpy(zero_copy_only=False), seqs.offsets.to_numpy()
+            for k, (tile, i, j, *row) in enumerate(zip(*c, strict=True)):
+                if now != (tile, i, j):
+                    if held:
+                        yield out()
+                    now, held = (tile, i, j), []
+                held.append((*row, flat[ends[k] : ends[k + 1]].copy()))
+        if held:
+            yield out()
+
+    return rows.mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (u, v) → (id, root): each vertex with the smallest of its component. Large-star and small-star by turns, each round a
     table, until the edges no longer change."""
@@ -259,7 +352,13 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", carry=()) ->
     rank = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("key"), F.col("__row").alias("row"))
     same = written(rows.groupBy("__digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n_copies")).withColumn("id", F.col("first.row")), "copies")
     reps = rows.select("__row", "__n", "__keys").join(same.select(F.col("id").alias("__row")), "__row", "left_semi")
-    root = components(links(candidates(reps), same.select("id", "__digest", F.col("first.key").alias("key")), df, key, text))
+    known = same.select("id", "__digest", F.col("first.key").alias("key"))
+    at = buckets(reps)
+    pairs = written(candidates(at), "pairs")
+    led = components(links(pairs, known, df, key, text))  # (id, root): a star, so the links of the second pass can be added to it
+    root = led.union(led.select("root", "root").distinct())
+    rest = missed(apart(at, root, pairs), known, df, key, text)
+    root = components(led.toDF("u", "v").union(rest))
     root = root.union(root.select("root", "root").distinct())
     linked = same.select("id", "first").join(root, "id")  # texts without a link are their own class and take no further part
     best = linked.groupBy("root").agg(F.min("first").alias("best"))

@@ -172,6 +172,17 @@ def test_neardup(spark, odd, empty):
     assert neardup.classes(empty).count() == 0
 
 
+def test_neardup_crowd(spark):
+    """300 shingles that all texts share and 50 of their own: 0.75 between any two, 0.81 in the planted pairs, which share 13 more."""
+    rng = random.Random(11)
+    frame, texts = words(rng, 304, 500_000), []
+    for _ in range(60):
+        pair = f"{frame} {words(rng, 13, 500_000)}"
+        texts += [f"{pair} {words(rng, 37, 500_000)}" for _ in range(2)]
+    got = neardup.classes(docs(spark, texts)).toPandas().sort_values("doc_id")
+    assert got.class_id.tolist() == [i - i % 2 for i in range(len(texts))]
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(250)]
