@@ -16,10 +16,12 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one of our own only where that is unset (tests on one machine)."""
+    """The folder in spark.checkpoint.dir; a local one of our own only where that is unset and the master is this machine (tests)."""
     said = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if said:
         return said.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if "dir" not in _local:
         import shutil
 
@@ -28,8 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local["dir"]
 
 
+_paths: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/ledgerlark/{name}-{uuid.uuid4().hex}"
+    _paths.append(f"{shared_dir(spark)}/ledgerlark/{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -39,6 +45,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession, keep: tuple[str, ...] = (), since: int = 0) -> None:
+    """Delete the scratch tables that this process has written, all but `keep` and the first `since`. Results that still read one of them
+    must have been written elsewhere before."""
+    for path in [p for p in _paths[since:] if p not in keep]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _paths.remove(path)
+
+
+def last() -> tuple[str]:
+    """The scratch table written last, to keep."""
+    return (_paths[-1],)
+
+
+def mark() -> int:
+    """How many scratch tables there are by now; clear(since=mark) keeps them."""
+    return len(_paths)
+
+
+SHARE, SALTS = 1000, 64
+
+
+def spread(rows: DataFrame, small: DataFrame, key: str, weight: str, by: str) -> DataFrame:
+    """rows joined with small on key (inner), without a task that gets all rows of a frequent key. small: a table with one row a key,
+    whose `weight` is that key's number of rows. Keys with at least one in SHARE of all rows (SHARE of them at most, so they may be
+    broadcast) are dealt over SALTS parts by a hash of the column `by`, and their row of small is repeated for each part."""
+    total = small.agg(F.sum(weight)).first()[0] or 0
+    often = F.col(weight) * SHARE >= F.lit(total)
+    hot = small.where(often).select(key, F.lit(True).alias("__hot"))
+    parts = small.withColumn("__salt", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", salt).drop("__hot")
+    return dealt.join(parts, [key, "__salt"]).drop("__salt")
+
+
 def let(value: Column, body) -> Column:
     """Bind value once, so that lambdas in body read the result instead of computing it again for each element."""
     return F.transform(F.array(value), body)[0]

@@ -1,19 +1,22 @@
 """Near-duplicate classes by Order MinHash, verified by banded alignment.
 
-A text is its sequence of 5-word shingles. Each of SKETCHES hash functions picks the PICKS smallest shingles, labelled by occurrence,
-and keeps them in text order; two texts with the same ordered picks share a bucket. Collisions become likelier with edit similarity,
-not only with overlap. Candidates are verified by a banded alignment of the two shingle sequences: with L aligned equal shingles,
-similarity is L / (n + m - L), and 0.8 or more links them. Classes are the connected components of the links.
+Candidates: each of SKETCHES hash functions picks the PICKS smallest of a text's 5-word shingles, labelled by occurrence, and keeps them
+in text order; two texts with the same ordered picks share a bucket. Collisions become likelier with edit similarity, not only with
+overlap. Verification: a banded alignment of the two texts' words; with L aligned equal words of n and m, similarity is
+L / (n + m - L), and 0.8 or more links them (a tenth of the words of a text replaced gives 0.82). Classes are the connected components
+of the links.
 
 Scale: equal texts collapse first (only digests are shuffled), so copies never meet in a bucket. First each text of a bucket is paired
 with two leaders, the one that shares most buckets overall (the hub of its group) and one drawn by a hash of the bucket. A leader with
 many members is repeated over parts of at most PART_ROWS members or so, and each task streams members past one leader at a time. Then
 all pairs of a bucket that the leaders left in different components are tested: pair by pair where a bucket has at most SMALL texts, and
-by tiles, blocks of some PART_ROWS texts against blocks, in larger ones; a tile counts equal shingles first, which bounds the alignment
-from above. So texts that share a bucket are either linked by a chain or tested with each other. Components are found by alternating star contractions on tables; nothing is collected but two numbers a round.
+by tiles, blocks of some PART_ROWS texts against blocks, in larger ones; a tile counts equal words first, which bounds the alignment
+from above. So texts that share a bucket are either linked by a chain or tested with each other. Joins on a digest, a bucket, a vertex
+or a class spread frequent values over salts. Components are found by alternating star contractions on tables; nothing is collected but
+two numbers a round.
 
 Defined results: a null text counts as empty; texts without words are equal if their characters are; texts of fewer than five words
-are one shingle; repeated rows are copies of each other; a class is named by the smallest id in it, null ids last.
+have one shingle; repeated rows are copies of each other; a class is named by the smallest id in it, null ids last.
 """
 
 from __future__ import annotations
@@ -27,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, mix, shingles, token_hash, word_hashes, written
+from .common import Memo, clear, last, mark, mix, shingles, spread, token_hash, word_hashes, written
 
 SHINGLE = 5
-SKETCHES, PICKS = 16, 3
+SKETCHES, PICKS = 20, 2
 PART_ROWS, SMALL = 512, 32
+SEEN = 100_000  # rows that a task remembers at a time, to read repeated rows once
 WORDS = 1 << 20  # of 64 bits each, in the filter of ids
 SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -71,9 +75,9 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def hashed(text: str | None, memo: Memo) -> tuple[np.ndarray, bytes]:
-    """The shingles of a text, and a digest of its words."""
+    """The words of a text, and a digest of them."""
     h = word_hashes(text or "", memo)
-    return shingles(h, SHINGLE), xxhash.xxh3_128_digest(h.tobytes() if len(h) else b"\0" + (text or "").encode())
+    return h, xxhash.xxh3_128_digest(h.tobytes() if len(h) else b"\0" + (text or "").encode())
 
 
 def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
@@ -81,7 +85,7 @@ def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 
 
 def sketches(df: DataFrame, key: str, text: str, carry=()) -> DataFrame:
-    """Per row: a digest of its words, its length in shingles, and bucket keys."""
+    """Per row: a digest of its words, its length in words, and bucket keys."""
     inner = df.select(F.col(text).cast("string").alias("__text"), F.col(key).alias("__key"), F.monotonically_increasing_id().alias("__row"), *[F.col(c) for c in carry])
     kinds = {"__digest": T.BinaryType(), "__n": T.IntegerType(), "__keys": T.ArrayType(T.LongType())}
     schema = T.StructType(inner.schema.fields[1:] + [T.StructField(k, v) for k, v in kinds.items()])
@@ -91,17 +95,18 @@ def sketches(df: DataFrame, key: str, text: str, carry=()) -> DataFrame:
         for batch in batches:
             digest, n, keys = [], [], []
             for raw in batch.column(0).to_pylist():
-                s, d = hashed(raw, memo)
+                h, d = hashed(raw, memo)
                 digest.append(d)
-                n.append(len(s))
-                keys.append(sketch(s).view(np.int64))
+                n.append(len(h))
+                keys.append(sketch(shingles(h, SHINGLE)).view(np.int64))
             yield pa.RecordBatch.from_arrays(batch.columns[1:] + [pa.array(digest, pa.binary()), pa.array(n, pa.int32()), lists(keys, pa.int64())], [f.name for f in schema.fields])
 
     return inner.mapInArrow(run, schema)
 
 
 def sequences(df: DataFrame, mark: str, text: str) -> DataFrame:
-    """(mark, __digest, __seq): the shingles of each text as 32-bit numbers, once a task for rows equal in mark and words."""
+    """(mark, __digest, __seq): the words of each text as 32-bit numbers. Rows equal in mark and words mostly come once a task; who reads
+    on must not mind repeats."""
     inner = df.select(F.col(text).cast("string").alias("__text"), F.col(mark))
 
     def run(batches):
@@ -112,6 +117,8 @@ def sequences(df: DataFrame, mark: str, text: str) -> DataFrame:
                 s, d = hashed(raw, memo)
                 if (m, d) in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add((m, d))
                 marks.append(m)
                 digest.append(d)
@@ -130,15 +137,18 @@ class Leader:
         for i, x in enumerate(seq.tolist()):
             self.at.setdefault(x, []).append(i)
 
-    def aligned(self, other: np.ndarray, band: int) -> int:
+    def aligned(self, other: np.ndarray, band: int, need: int = 0) -> int:
         """Longest common subsequence with partners at most `band` places apart, a bit per place of the band. Row by row the window
-        slides by one; a zero bit is a place that lengthens the alignment, and those that leave the window are counted."""
+        slides by one; a zero bit is a place that lengthens the alignment, and those that leave the window are counted. Every 32 rows it
+        gives up (-1) where the rows left cannot make up `need`."""
         n, m = self.n, len(other)
         width = 2 * band + 1
         full = (1 << width) - 1
         v, low, gone = full, -band, 0  # bit b of v stands for place low + b
         for i, x in enumerate(other.tolist()):
             if i:
+                if not i & 31 and gone + width - v.bit_count() + m - i < need:
+                    return -1
                 gone += 1 - (v & 1)
                 v = v >> 1 | 1 << (width - 1)
                 low += 1
@@ -157,7 +167,7 @@ class Leader:
             if hit:
                 u = v & hit
                 v = (v + u | v - u) & full
-        return gone + width - bin(v).count("1")
+        return gone + width - v.bit_count()
 
     def similar(self, other: np.ndarray) -> bool:
         n, m = self.n, len(other)
@@ -165,7 +175,7 @@ class Leader:
             return False
         need = least(n, m)
         slack = n + m - 2 * need
-        return self.aligned(other, slack) >= need
+        return self.aligned(other, slack, need) >= need
 
 
 def least(n, m):
@@ -236,7 +246,7 @@ def links(pairs: DataFrame, reps: DataFrame, df: DataFrame, key: str, text: str)
     rows = dealt(roles, reps, df, key, text).repartition("leader", "parts", "part").sortWithinPartitions("leader", "parts", "part", "member")
 
     def run(batches):
-        now, lead = None, None
+        now, lead, last = None, None, None
         for batch in batches:
             c = {n: batch.column(n) for n in ("leader", "parts", "part", "member")}
             c = {n: x.to_numpy(zero_copy_only=False) for n, x in c.items()}
@@ -248,9 +258,11 @@ def links(pairs: DataFrame, reps: DataFrame, df: DataFrame, key: str, text: str)
                 if member < 0:  # sorts before the members
                     if now != c["leader"][i]:
                         now, lead = c["leader"][i], Leader(s.copy())
-                elif lead.similar(s):
-                    us.append(int(now))
-                    vs.append(member)
+                elif last != (now, member):
+                    last = (now, member)
+                    if lead.similar(s):
+                        us.append(int(now))
+                        vs.append(member)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     return rows.mapInArrow(run, "u long, v long")
@@ -259,8 +271,8 @@ def links(pairs: DataFrame, reps: DataFrame, df: DataFrame, key: str, text: str)
 def buckets(reps: DataFrame) -> DataFrame:
     """reps: __row, __n, __keys, one row a distinct text. (key, id, n, c) for the buckets that more than one text shares."""
     at = reps.where("__n > 0").select(F.col("__row").alias("id"), F.col("__n").alias("n"), F.explode("__keys").alias("key"))
-    shared = at.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    return written(at.join(shared, "key"), "buckets")
+    shared = written(at.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
+    return written(spread(at, shared, "key", "c", "id"), "buckets")
 
 
 def candidates(at: DataFrame) -> DataFrame:
@@ -269,8 +281,8 @@ def candidates(at: DataFrame) -> DataFrame:
     ranked = at.join(hub, "id")
     one = F.struct("hub", (-F.col("id")).alias("id"), "n")
     other = F.struct(F.xxhash64("id", "key").alias("hub"), (-F.col("id")).alias("id"), "n")
-    lead = ranked.groupBy("key").agg(F.max(one).alias("one"), F.max(other).alias("other"))
-    pairs = at.join(lead, "key").select("id", "n", "c", F.explode(F.array("one", "other")).alias("l")).select(F.col("id").alias("member"), "n", "c", (-F.col("l.id")).alias("leader"), F.col("l.n").alias("m"))
+    lead = ranked.groupBy("key").agg(F.max(one).alias("one"), F.max(other).alias("other"), F.max("c").alias("w"))
+    pairs = spread(at, written(lead, "leaders"), "key", "w", "id").select("id", "n", "c", F.explode(F.array("one", "other")).alias("l")).select(F.col("id").alias("member"), "n", "c", (-F.col("l.id")).alias("leader"), F.col("l.n").alias("m"))
     pairs = pairs.where((F.col("leader") != F.col("member")) & (5 * F.least("n", "m") >= 4 * F.greatest("n", "m")))
     return pairs.groupBy("leader", "member").agg(F.ceil(F.max("c") / PART_ROWS).cast("int").alias("parts"))
 
@@ -279,7 +291,7 @@ def apart(at: DataFrame, root: DataFrame, pairs: DataFrame) -> DataFrame:
     """Tiles that cover the pairs of the buckets whose texts have different roots, as rows (tile, i, j, side, id, root)."""
     at = at.drop("c").join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
     open = at.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    at = written(at.join(open.select("key", "c"), "key"), "apart")
+    at = written(spread(at, written(open.select("key", "c"), "open"), "key", "c", "id"), "apart")
     side = lambda v: [F.col(f"{v}.{c}").alias(f"{v}_{c}") for c in ("id", "root")]
     few = at.where(F.col("c") <= SMALL)
     few = few.alias("u").join(few.alias("v"), "key").where("u.id < v.id and u.root != v.root and 5 * least(u.n, v.n) >= 4 * greatest(u.n, v.n)").select(*side("u"), *side("v")).distinct()
@@ -301,11 +313,12 @@ def missed(tiles: DataFrame, reps: DataFrame, df: DataFrame, key: str, text: str
     rows = dealt(tiles, reps, df, key, text).repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
 
     def run(batches):
-        now, held = None, []
+        now, held = None, {}
 
         def out():
-            ids, roots, sides = (np.array([h[k] for h in held]) for k in range(3))
-            found = tested(ids, roots, sides, [h[3] for h in held]) if (sides != 1).any() and (sides > 0).any() else []
+            rows = list(held.values())
+            ids, roots, sides = (np.array([h[k] for h in rows]) for k in range(3))
+            found = tested(ids, roots, sides, [h[3] for h in rows]) if (sides != 1).any() and (sides > 0).any() else []
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(2)], ["u", "v"])
 
         for batch in batches:
@@ -316,8 +329,8 @@ def missed(tiles: DataFrame, reps: DataFrame, df: DataFrame, key: str, text: str
                 if now != (tile, i, j):
                     if held:
                         yield out()
-                    now, held = (tile, i, j), []
-                held.append((*row, flat[ends[k] : ends[k + 1]].copy()))
+                    now, held = (tile, i, j), {}
+                held[row[0]] = (*row, flat[ends[k] : ends[k + 1]].copy())
         if held:
             yield out()
 
@@ -329,15 +342,18 @@ def components(edges: DataFrame) -> DataFrame:
     table, until the edges no longer change."""
     flat = lambda d: d.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     sign = lambda d: tuple(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+    spark = edges.sparkSession
     edges = written(flat(edges), "links")
     before = sign(edges)
     while before[0]:
+        old = mark()
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        edges = flat(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        small = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("c")), "least")
+        edges = written(flat(spread(both.where("v > u"), least, "u", "c", "v").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large")
+        least = written(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")), "least")
+        small = spread(edges, least, "u", "c", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         edges = written(flat(small), "links")
+        clear(spark, last(), old)
         now = sign(edges)
         if now == before:
             break
@@ -361,10 +377,10 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", carry=()) ->
     root = components(led.toDF("u", "v").union(rest))
     root = root.union(root.select("root", "root").distinct())
     linked = same.select("id", "first").join(root, "id")  # texts without a link are their own class and take no further part
-    best = linked.groupBy("root").agg(F.min("first").alias("best"))
-    best = linked.select("id", "root").join(best, "root").select("id", "best")
-    named = same.join(best, "id", "left").select("__digest", "n_copies", F.coalesce("best", "first").alias("best"))
-    out = rows.select("__row", "__key", "__digest", *carry).join(named, "__digest")
+    best = written(linked.groupBy("root").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("c")), "classes")
+    best = spread(linked.select("id", "root"), best, "root", "c", "id").select("id", "best")
+    named = written(same.join(best, "id", "left").select("__digest", "n_copies", F.coalesce("best", "first").alias("best")), "named")
+    out = spread(rows.select("__row", "__key", "__digest", *carry), named, "__digest", "n_copies", "__row")
     return out.select(*[c for c in carry if c != key], F.col("__key").alias(key), F.col("best.key").alias("class_id"), "n_copies", (F.col("__row") == F.col("best.row")).alias("keeper"))
 
 
