@@ -1,231 +1,410 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(token | history) = P(class | history) P(token | class). The history gives three hashed features: the token before (bigram), the two
-before (trigram) and the one before the last (skip). Each has a row of class weights; their sum and a bias go through a softmax over
-CLASSES. A class is the end of text, one of the HEADS most frequent tokens, or one of the hashed last two letters of a token; within it
-a token has its add-one frequency in the training texts, with one place for all unknown tokens.
-
-Training: corpus counts come from one pass over all training texts and grouped sums. The weights are trained by distributed gradient
-updates: every partition takes Adagrad steps on all its training texts, and rows of weights are averaged by the number of their
-updates. Scoring works on batches of texts as flat arrays. Tokens with at least one in HOT of all occurrences are known to every task
-(HOT rows at most); the counts of all others come by a join of (text, token) with the table of counts, exactly.
+P(token | history) = P(class | history) P(slot | class, token before) P(token | slot). Every token has a slot, every slot a class: the end
+of text is class 0, the HEADS most frequent tokens have classes of their own, other tokens the class of their last two letters' hash. A
+token with at least one in OWN of all occurrences has a slot of its own, others share the slots of their class by hash.
+
+- Class factor: three hashed features, the token before (bigram), the two before (trigram) and the one before the last (skip), each with
+  a row of class weights; their sum and a bias go through a softmax. Weights are trained by ROUNDS rounds of full-batch gradient updates:
+  tasks add up what their texts show and what the weights expect for each feature and class, the sums are added over all tasks, and
+  each weight moves by STEP times the log of their ratio (iterative scaling: the gradient's sign and zero). A round reads every training text.
+- Slot factor: weights of (token before, slot) under a prior of the slots' shares whose strength is the number of slots seen after the
+  token in the class. One feature is active, so the update from zero ends at the maximum: (count + strength x share) / (sum + strength).
+  There is a weight for every pair of the training texts, so the model grows with them. Its table is never in one place: pairs meet in
+  buckets whose number grows with the input, and each chunk gets back the values of its own pairs only.
+- Within a slot a token has its add-one share; shared slots keep one place for unknown tokens. All probabilities sum to 1.
+
+Scale: texts are tokenized once into chunks of CHUNK tokens or so (a longer text is a chunk). Chunks send distinct tokens and distinct
+pairs, packed, to buckets, and get values back. On the driver: the tokens with own slots (OWN at most), SLOTS masses, and class weights of
+fixed size. All sums are over all texts, so the result does not depend on the partitioning. A bucket's memory grows with what the chunks send to it; followers of one
+token in one class go to one bucket, SLOTS of them at most from each chunk.
 
 Defined results: a null text counts as empty and has one token, the end; without training texts every class and token is equally
-likely; repeated rows each get their scores; tokens are known by 64-bit hashes.
+likely but for its places; repeated rows each get their scores; tokens are known by 64-bit hashes, pairs by 64 bits.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, mix, written
+from .common import mix, written
 
-CLASSES, HEADS = 16, 5
-END = 1  # the end token's hash; its class is 0
+HEADS, ENDINGS = 7, 24
+CLASSES = 1 + HEADS + ENDINGS
+SLOTS, OWN = 1 << 16, 1 << 15
+END = 1  # the end token's hash; its slot and class are 0
 BUCKETS, FEATURES = 1 << 12, 3
-HOT = 40_000
-CHUNK, STEP = 16_384, 0.15
-FLUSH = 300_000
+CHUNK, STEP, SMOOTH, ROUNDS = 1 << 20, 0.5, 4.0, 2
+PART = 1 << 15  # tokens whose softmax is in memory at a time
+BLOCK = 1 << 10  # feature rows that travel together
 
 
-def token(word: bytes) -> tuple[int, int]:
-    """Hash and class by spelling of a lower-cased word."""
-    h = xxhash.xxh64_intdigest(word)
-    return (h if h > 1 else 2), HEADS + 1 + xxhash.xxh32_intdigest(word[-2:]) % (CLASSES - HEADS - 1)
+def pack(a: np.ndarray) -> bytes:
+    """Bytes plane by plane, compressed: sorted and small numbers come to little."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
 
 
-def texts_of(column) -> list[bytes]:
-    return [(t or b"").lower() for t in column.to_pylist()]  # of bytes: A-Z only
+def unpack(b: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
 
 
-def flat(texts: list[bytes], memo: Memo) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and classes of all tokens of many texts end to end, each text closed by the end token; the texts' lengths in tokens."""
-    hashes, kinds, length = [], [], np.empty(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        got = [memo[w] for w in t.split()]
-        got.append((END, 0))
-        a = np.array(got, np.uint64).reshape(-1, 2)
-        hashes.append(a[:, 0])
-        kinds.append(a[:, 1])
-        length[i] = len(got)
-    none = np.zeros(0, np.uint64)
-    return np.concatenate(hashes or [none]), np.concatenate(kinds or [none]).astype(np.int64), length
+class Local(dict):
+    """Word → number in order of first use; 0 is the end token."""
 
+    def __missing__(self, word):
+        n = self[word] = len(self) + 1
+        return n
 
-def histories(h: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """FEATURES rows of weight-row numbers for each token."""
-    place = np.arange(len(h)) - np.repeat(np.cumsum(length) - length, length)
-    one = np.where(place > 0, np.concatenate(([0], h[:-1])).astype(np.uint64), np.uint64(0))
-    two = np.where(place > 1, np.concatenate(([0, 0], h[:-2])).astype(np.uint64)[: len(h)], np.uint64(0))
-    low = np.uint64(BUCKETS - 1)
-    return np.stack([mix(one + np.uint64(11)) & low, (mix(mix(one + np.uint64(13)) + two) & low) + np.uint64(BUCKETS), (mix(two + np.uint64(17)) & low) + np.uint64(2 * BUCKETS)]).astype(np.int64)
 
+def chunked(df: DataFrame, train: Column, text: str, keep) -> DataFrame:
+    """Chunks of tokenized texts: the columns `keep` of each text, its length in tokens, whether it trains, the distinct tokens' hashes and
+    endings, and the tokens as numbers of those."""
+    inner = df.select(F.col(text).cast("string").cast("binary").alias("__text"), F.coalesce(train, F.lit(False)).alias("__train"), *[F.col(c) for c in keep])
+    each = T.StructType(inner.schema.fields[2:])
+    schema = T.StructType([T.StructField("rows", T.ArrayType(each))] + T._parse_datatype_string("chunk long, n_train long, n_words long, length binary, train binary, vocab binary, ending binary, ids binary").fields)
 
-def softmax(w: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = w[f[0]]
-    z += w[f[1]]
-    z += w[f[2]]
-    z += bias
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
+    def run(batches):
+        task, seq = TaskContext.get().partitionId(), 0
+        local, ids, length, train, rows, n = Local(), [], [], [], [], 0
 
+        def out():
+            vocab = np.array([END, *[max(2, xxhash.xxh64_intdigest(w)) for w in local]], np.uint64)
+            ending = np.array([0, *[xxhash.xxh32_intdigest(w[-2:]) % ENDINGS for w in local]], np.uint8)
+            long, on, all_rows = np.array(length, np.uint32), np.array(train, bool), pa.concat_arrays(rows)
+            lists = pa.ListArray.from_arrays(pa.array([0, len(all_rows)], pa.int32()), all_rows)
+            numbers = [pa.array([x], pa.int64()) for x in (task << 32 | seq, int(long[on].sum()), len(vocab))]
+            blobs = [pa.array([pack(x)], pa.binary()) for x in (long, on, vocab, ending, np.concatenate(ids))]
+            return pa.RecordBatch.from_arrays([lists, *numbers, *blobs], schema.names)
+
+        for batch in batches:
+            flat, begin = pa.StructArray.from_arrays(batch.columns[2:], [f.name for f in each.fields]), 0
+            for i, (t, on) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
+                words = (t.as_py() or b"").lower().split()  # of bytes: A-Z only, blanks \x20 and \x09-\x0D
+                x = np.zeros(len(words) + 1, np.uint32)
+                x[:-1] = np.fromiter(map(local.__getitem__, words), np.uint32, len(words))
+                ids.append(x)
+                length.append(len(x))
+                train.append(on.as_py())
+                n += len(x)
+                if n >= CHUNK:
+                    rows.append(flat.slice(begin, i + 1 - begin))
+                    yield out()
+                    local, ids, length, train, rows, n, seq, begin = Local(), [], [], [], [], 0, seq + 1, i + 1
+            rows.append(flat.slice(begin))
+        if ids:
+            yield out()
+
+    return written(inner.mapInArrow(run, schema), "chunks")
 
-class Model:
-    """What every task needs: hot counts, class sums, weights; its size is fixed by HOT, BUCKETS and CLASSES."""
 
-    def __init__(self, total: int, distinct: int, hot: dict[int, int], heads: list[int], mass: np.ndarray, kinds: np.ndarray):
-        self.total, self.distinct, self.hot = total, distinct, hot
-        self.heads = {h: i + 1 for i, h in enumerate(heads)}
-        self.below = np.log10(mass + kinds + (np.arange(CLASSES) > HEADS))  # one place for unknown tokens in each open class
-        self.bias = np.log((mass + 1) / (mass + 1).sum()).astype(np.float32)
-        self.w = np.zeros((FEATURES * BUCKETS, CLASSES), np.float32)
+PACKED = ["length", "train", "vocab", "ending", "ids"]
 
-    def tokens(self) -> Memo:
-        """Word → hash and class, most frequent tokens in classes of their own."""
-        heads = self.heads
 
-        def make(word):
-            h, k = token(word)
-            return h, heads.get(h, k)
+class Chunk:
+    """One chunk's arrays."""
 
-        return Memo(make, 300_000)
+    def __init__(self, row: dict):
+        self.length, self.train = unpack(row["length"], np.uint32).astype(np.int64), unpack(row["train"], np.bool_)
+        self.vocab, self.ending, self.ids = unpack(row["vocab"], np.uint64), unpack(row["ending"], np.uint8), unpack(row["ids"], np.uint32)
+        self.first = np.cumsum(self.length) - self.length
+        self.on = np.repeat(self.train, self.length)
 
+    def histories(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the token before and of the one before it; 0 before the text."""
+        h = self.vocab[self.ids]
+        one, two = np.zeros_like(h), np.zeros_like(h)
+        one[1:], two[2:] = h[:-1], h[:-2]
+        one[self.first], two[self.first] = 0, 0
+        two[self.first[self.length > 1] + 1] = 0
+        return one, two
 
-def count(train: DataFrame) -> DataFrame:
-    """All tokens of the training texts: h, k (class by spelling), c."""
+
+def chunks_of(batches):
+    for batch in batches:
+        for row in batch.to_pylist():
+            yield row, Chunk(row)
+
+
+def exchange(messages: DataFrame, answer, buckets: int, extra: str = "") -> DataFrame:
+    """messages: chunk, bucket, data. answer(all data of a bucket) → their answers in the same order, and a dict of extra columns, which
+    come once a bucket (null elsewhere)."""
+    rows = messages.repartition(min(buckets, 1 << 15), "bucket").sortWithinPartitions("bucket")
+    schema = T._parse_datatype_string("chunk long, bucket long, data binary" + (", " + extra if extra else ""))
+    arrow = [pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * (len(schema) - 3)]
 
     def run(batches):
-        got: Counter = Counter()
-        ends = 0
+        now, held = None, []
 
         def out():
-            pairs = [token(w) for w in got]
-            h = np.array([p[0] for p in pairs] + [END], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array([p[1] for p in pairs] + [0], pa.int32()), pa.array([*got.values(), ends], pa.int64())], ["h", "k", "c"])
+            back, more = answer([d for _, d in held])
+            columns = [[c for c, _ in held], [now] * len(held), back, *[[more[f]] + [None] * (len(held) - 1) for f in schema.names[3:]]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow, strict=True)], schema.names)
 
         for batch in batches:
-            for t in texts_of(batch.column(0)):
-                got.update(t.split())
-                ends += 1
-                if len(got) > FLUSH:
-                    yield out()
-                    got.clear()
-                    ends = 0
-        if ends or got:
+            for c, b, d in zip(*[batch.column(n).to_pylist() for n in ("chunk", "bucket", "data")], strict=True):
+                if b != now:
+                    if held:
+                        yield out()
+                    now, held = b, []
+                held.append((c, d))
+        if held:
             yield out()
 
-    return train.mapInArrow(run, "h long, k int, c long").groupBy("h").agg(F.min("k").alias("k"), F.sum("c").alias("c"))
-
-
-def learn(train: DataFrame, rounds: int = 1) -> tuple[Model, DataFrame]:
-    """train: one string column. The model and the table of counts."""
-    train = train.select(F.col(train.columns[0]).cast("string").cast("binary").alias("t"))
-    counts = written(count(train), "counts")
-    total, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
-    hot = counts.where((F.col("c") * HOT >= total) & (F.col("h") != END)).toPandas()  # HOT rows at most: each has 1/HOT of all
-    hot["u"] = hot.h.to_numpy(np.int64).view(np.uint64)
-    top = hot.sort_values(["c", "h"], ascending=[False, True]).head(HEADS)
-    sums = counts.groupBy("k").agg(F.sum("c").alias("mass"), F.count(F.lit(1)).alias("kinds")).toPandas().set_index("k")  # CLASSES rows
-    mass, kinds = (sums[c].reindex(range(CLASSES), fill_value=0).to_numpy(np.float64).copy() for c in ("mass", "kinds"))
-    for i, (k, c) in enumerate(zip(top.k, top.c, strict=True)):
-        mass[k], kinds[k], mass[i + 1], kinds[i + 1] = mass[k] - c, kinds[k] - 1, c, 1
-    mass[0], kinds[0] = max(mass[0], 1), max(kinds[0], 0)
-    mass[1 : HEADS + 1] = np.maximum(mass[1 : HEADS + 1], 1e-9)
-    model = Model(int(total), int(distinct), dict(zip(hot.u.tolist(), hot.c.tolist(), strict=True)), top.u.tolist(), mass, kinds)
-    for _ in range(rounds):
-        updated(model, train)
-    return model, counts
-
-
-def updated(model: Model, train: DataFrame) -> None:
-    """One round of distributed gradient updates over all training texts."""
-    shared = train.sparkSession.sparkContext.broadcast(model)
+    return written(rows.mapInArrow(run, schema), "answers")
+
+
+def send(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted 64-bit keys → the buckets that get some (by ranges of the key), and the bounds of what each gets."""
+    which = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    cut = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1]))) if len(which) else np.zeros(0, np.int64)
+    return which[cut], np.append(cut, len(which))
+
+
+def messages_of(chunks: DataFrame, make, buckets: int) -> DataFrame:
+    """make(chunk) → sorted keys and an array beside them; each bucket gets its stretch of both, packed."""
 
     def run(batches):
-        m = shared.value
-        w, memo = m.w.copy(), m.tokens()
-        square, visits = np.full(w.shape, 1e-4, np.float32), np.zeros(len(w), np.int64)
-        for batch in batches:
-            texts = texts_of(batch.column(0))
-            for at in range(0, len(texts), 64):
-                h, y, length = flat(texts[at : at + 64], memo)
-                f = histories(h, length)
-                for lo in range(0, len(h), CHUNK):
-                    part = f[:, lo : lo + CHUNK]
-                    g = softmax(w, m.bias, part)
-                    g[np.arange(len(g)), y[lo : lo + CHUNK]] -= 1
-                    for rows in part:
-                        order = np.argsort(rows, kind="stable")
-                        r = rows[order]
-                        first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-                        d, r, n = np.add.reduceat(g[order], first, axis=0), r[first], np.diff(np.append(first, len(r)))
-                        d /= np.sqrt(n)[:, None]
-                        square[r] += d * d
-                        w[r] -= STEP * d / np.sqrt(square[r])
-                        visits[r] += n
-        r = np.flatnonzero(visits)
-        cell = (r[:, None] * CLASSES + np.arange(CLASSES)).ravel()
-        n = np.repeat(visits[r], CLASSES).astype(np.float64)
-        for lo in range(0, len(cell), 100_000):
-            s = slice(lo, lo + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(cell[s].astype(np.int32)), pa.array(w[r].ravel()[s] * n[s]), pa.array(n[s])], ["cell", "num", "den"])
-
-    mean = train.mapInArrow(run, "cell int, num double, den double").groupBy("cell").agg((F.sum("num") / F.sum("den")).alias("w"))
-    got = mean.toPandas()  # one row a weight
-    model.w.ravel()[got.cell.to_numpy()] = got.w.to_numpy(np.float32)
-    shared.unpersist()
+        for row, chunk in chunks_of(batches):
+            both = make(chunk)
+            which, cut = send(both[0], buckets)
+            data = [pa.array([pack(a[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for a in both]
+            joined = pa.StructArray.from_arrays(data, ["x0", "x1"])
+            yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * len(which), pa.int64()), pa.array(which), joined], ["chunk", "bucket", "data"])
+
+    return chunks.select("chunk", *PACKED).mapInArrow(run, "chunk long, bucket long, data struct<x0:binary,x1:binary>")
+
+
+def tokens_of(chunk: Chunk):
+    """Distinct tokens by hash, and their counts in training texts beside their endings."""
+    c = np.bincount(chunk.ids[chunk.on], minlength=len(chunk.vocab)).astype(np.uint32)
+    order = np.argsort(chunk.vocab)
+    return chunk.vocab[order], np.stack([c, chunk.ending.astype(np.uint32)], 1)[order].copy().view(np.uint64).ravel()
+
+
+def shared_slots(own: int) -> int:
+    """Slots of each ending, if `own` are left for single tokens."""
+    return (SLOTS - 1 - own) // ENDINGS
+
 
+def shared_slot(h: np.ndarray, ending: np.ndarray, own: int) -> np.ndarray:
+    n = shared_slots(own)
+    return own + 1 + ending.astype(np.int64) * n + (mix(h) % np.uint64(n)).astype(np.int64)
 
-def score(df: DataFrame, model: Model, counts: DataFrame, text: str = "text", keep=("doc_id",)) -> DataFrame:
-    """Per row: `keep`, n_tokens, n_known (tokens that the training texts have), base_score (add-one unigram) and score, in log10."""
-    inner = df.select(F.col(text).cast("string").cast("binary").alias("__text"), F.monotonically_increasing_id().alias("__row"), *[F.col(c) for c in keep])
-    more = "n_tokens long, __hot long, __logs double, __given double, __h array<long>, __n array<int>"
-    schema = T.StructType(inner.schema.fields[1:] + T._parse_datatype_string(more).fields)
+
+@dataclass
+class Model:
+    """What every task needs; its size is fixed by OWN, SLOTS, BUCKETS and CLASSES."""
+
+    total: int
+    distinct: int
+    most: int  # own slots there may be
+    own: np.ndarray  # hashes of tokens with own slots, sorted
+    own_slot: np.ndarray
+    mass: np.ndarray  # by slot, add-one counts
+    kind: np.ndarray  # class by slot
+    w: np.ndarray = None
+    buckets: int = 1
+
+    def __post_init__(self):
+        of = np.bincount(self.kind, self.mass, CLASSES)
+        self.share = self.mass / np.maximum(of, 1e-300)[self.kind]
+        self.bias = np.log(np.maximum(of, 1e-9) / of.sum())
+        self.w = np.zeros((CLASSES, FEATURES * BUCKETS), np.float32) if self.w is None else self.w
+
+    def slots(self, chunk: Chunk) -> np.ndarray:
+        """The slot of each token of the chunk's vocabulary."""
+        at = np.minimum(np.searchsorted(self.own, chunk.vocab), len(self.own) - 1)
+        return np.where(self.own[at] == chunk.vocab, self.own_slot[at], shared_slot(chunk.vocab, chunk.ending, self.most))
+
+    def features(self, chunk: Chunk) -> np.ndarray:
+        one, two = chunk.histories()
+        low = np.uint64(BUCKETS - 1)
+        return np.stack([mix(one + np.uint64(11)) & low, (mix(mix(one + np.uint64(13)) + two) & low) + np.uint64(BUCKETS), (mix(two + np.uint64(17)) & low) + np.uint64(2 * BUCKETS)]).astype(np.int64)
+
+    def weights(self, f: np.ndarray) -> np.ndarray:
+        """exp of the summed weights and bias: CLASSES rows of a number for each token."""
+        z = np.empty((CLASSES, f.shape[1]), np.float32)
+        for c in range(CLASSES):
+            w = self.w[c]
+            np.add(w[f[0]], w[f[1]], out=z[c])
+            z[c] += w[f[2]]
+            z[c] += np.float32(self.bias[c])
+        z -= z.max(0)
+        return np.exp(z, out=z)
+
+    def pairs(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """For each token a 64-bit key: 48 bits of (token before, class), 16 of the slot."""
+        slot = self.slots(chunk)[chunk.ids]
+        one, _ = chunk.histories()
+        group = mix(one + self.kind[slot].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return group >> np.uint64(16) << np.uint64(16) | slot.astype(np.uint64), slot
+
+
+def token_counts(chunks: DataFrame, most: int = OWN) -> tuple[Model, DataFrame]:
+    """The model without weights, and for each chunk the counts of its tokens."""
+    total, words = (x or 0 for x in chunks.agg(F.sum("n_train"), F.sum("n_words")).first())
+    buckets = 1 + words // (2 * CHUNK)
+
+    def answer(data):
+        keys = [unpack(d["x0"], np.uint64) for d in data]
+        both = [unpack(d["x1"], np.uint64).view(np.uint32).reshape(-1, 2) for d in data]
+        h, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        flat = np.concatenate(both)
+        c = np.bincount(at, flat[:, 0], len(h)).astype(np.int64)
+        ending = flat[first, 1]
+        known = c > 0
+        own = known & (c * most >= total) & (h != END)
+        cold = known & ~own & (h != END)
+        slot = shared_slot(h[cold], ending[cold], most)
+        mass = np.bincount(slot, c[cold] + 1, SLOTS).astype(np.int64)
+        some = np.flatnonzero(mass)
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        back = [pack(x) for x in np.split(c[at], ends)]
+        lists = {"slot": some, "mass": mass[some], "h": h[own].view(np.int64), "c": c[own], "e": ending[own], "n": [int(known.sum()), int(c[h == END].sum())]}
+        return back, {k: list(map(int, v)) for k, v in lists.items()}
+
+    got = exchange(messages_of(chunks, tokens_of, buckets), answer, buckets, "slot array<long>, mass array<long>, h array<long>, c array<long>, e array<long>, n array<long>")
+    more = got.where("n is not null")
+    distinct, ends = (x or 0 for x in more.agg(F.sum(F.col("n")[0]), F.sum(F.col("n")[1])).first())
+    masses = more.select(F.explode(F.arrays_zip("slot", "mass")).alias("x")).groupBy("x.slot").agg(F.sum("x.mass").alias("mass")).toPandas()  # SLOTS rows at most
+    own = more.select(F.explode(F.arrays_zip("h", "c", "e")).alias("x")).select("x.*").toPandas().sort_values(["c", "h"], ascending=[False, True])  # OWN rows at most
+    mass, kind = np.zeros(SLOTS), np.zeros(SLOTS, np.int64)
+    rest = slice(most + 1, most + 1 + ENDINGS * shared_slots(most))
+    kind[rest] = 1 + HEADS + np.arange(ENDINGS).repeat(shared_slots(most))
+    mass[rest] = 1  # a place for unknown tokens
+    mass[masses.slot.to_numpy(np.int64)] += masses["mass"].to_numpy(np.float64)
+    mass[0] = ends + 1
+    at = np.arange(1, 1 + len(own))
+    mass[at] = own.c.to_numpy(np.float64) + 1
+    kind[at] = np.where(at <= HEADS, at, 1 + HEADS + own.e.to_numpy(np.int64))
+    h = np.append(own.h.to_numpy(np.int64).view(np.uint64), np.uint64(END))
+    order = np.argsort(h)
+    return Model(int(total), int(distinct), most, h[order], np.append(at, 0)[order], mass, kind, buckets=1 + total // CHUNK), got.select("chunk", "bucket", "data")
+
+
+def summed(chunks: DataFrame, model: Model, expected: bool) -> np.ndarray:
+    """For each feature row and class, over all training tokens: how often the class follows, or how often the weights expect it."""
+    shared = chunks.sparkSession.sparkContext.broadcast(model)
+    width = FEATURES * BUCKETS
+
+    def run(batches):
+        m, out = shared.value, np.zeros((CLASSES, width))
+        for _, chunk in chunks_of(batches):
+            f = m.features(chunk)[:, chunk.on]
+            if expected:
+                for lo in range(0, f.shape[1], PART):
+                    part = f[:, lo : lo + PART]
+                    p = m.weights(part)
+                    p /= p.sum(0)
+                    for c in range(CLASSES):
+                        for rows in part:
+                            out[c] += np.bincount(rows, p[c], width)
+            else:
+                y = m.kind[m.slots(chunk)[chunk.ids]][chunk.on]
+                for rows in f:
+                    out += np.bincount(y * width + rows, minlength=CLASSES * width).reshape(CLASSES, width)
+        blocks = [out[:, lo : lo + BLOCK] for lo in range(0, width, BLOCK)]
+        some = [i for i, b in enumerate(blocks) if b.any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([pack(blocks[i].ravel()) for i in some], pa.binary())], ["block", "data"])
+
+    def add(batches):
+        held = {}
+        for batch in batches:
+            for i, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[i] = held.get(i, 0) + unpack(d, np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([pack(x) for x in held.values()], pa.binary())], ["block", "data"])
+
+    schema = "block long, data binary"
+    rows = chunks.select(*PACKED).mapInArrow(run, schema).repartition(width // BLOCK, "block").mapInArrow(add, schema).collect()  # FEATURES x BUCKETS x CLASSES numbers
+    shared.unpersist()
+    out = np.zeros((CLASSES, width))
+    for r in rows:
+        out[:, r.block * BLOCK : (r.block + 1) * BLOCK] = unpack(bytes(r.data), np.float64).reshape(CLASSES, -1)
+    return out
+
+
+def trained(chunks: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
+    """The class weights after `rounds` updates. The first needs no pass of its own: without weights a feature expects its share."""
+    prior = SMOOTH * np.exp(model.bias)[:, None]
+    shown = summed(chunks, model, False)
+    for i in range(rounds):
+        expected = summed(chunks, model, True) if i else shown.sum(0) * np.exp(model.bias)[:, None]
+        model.w = (model.w + STEP * np.log((shown + prior) / (expected + prior))).astype(np.float32)
+    return model
+
+
+def pair_values(chunks: DataFrame, model: Model) -> DataFrame:
+    """For each chunk log10 P(slot | class, token before) of its distinct pairs, by bucket in the order of their keys."""
+    shared = chunks.sparkSession.sparkContext.broadcast(model)
+    share = model.share.astype(np.float64)
+
+    def make(chunk):
+        keys, _ = shared.value.pairs(chunk)
+        fresh, at = np.unique(keys, return_inverse=True)
+        return fresh, np.bincount(at[chunk.on], minlength=len(fresh)).astype(np.uint32)
+
+    def answer(data):
+        keys = [unpack(d["x0"], np.uint64) for d in data]
+        pair, at = np.unique(np.concatenate(keys), return_inverse=True)
+        c = np.bincount(at, np.concatenate([unpack(d["x1"], np.uint32) for d in data]), len(pair))
+        group = pair >> np.uint64(16)
+        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        width = np.diff(np.append(first, len(pair)))
+        strength = np.maximum(1, np.add.reduceat((c > 0).astype(np.float64), first))
+        total = np.add.reduceat(c, first)
+        of = share[(pair & np.uint64(0xFFFF)).astype(np.int64)]
+        value = np.log10((c + of * np.repeat(strength, width)) / np.repeat(total + strength, width)).astype(np.float32)
+        value = (value.view(np.uint32) + np.uint32(64) & np.uint32(0xFFFFFF80)).view(np.float32)  # 16 bits of fraction
+        return [pack(x) for x in np.split(value[at], np.cumsum([len(k) for k in keys])[:-1])], {}
+
+    return exchange(messages_of(chunks, make, model.buckets), answer, model.buckets)
+
+
+def score(df: DataFrame, train: Column, text: str = "text", keep=("doc_id",), own: int = OWN) -> tuple[DataFrame, Model]:
+    """Learn from the rows for which `train` holds and score all rows. Per row: `keep`, n_tokens, n_known (tokens that the training texts
+    have), base_score (add-one unigram) and score, both in log10; and the model."""
+    chunks = chunked(df, train, text, keep)
+    model, counts = token_counts(chunks, own)
+    model = trained(chunks, model)
+    values = pair_values(chunks, model)
     shared = df.sparkSession.sparkContext.broadcast(model)
+    listed = lambda d, name: d.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "data"))).alias(name))
+    rows = chunks.select("chunk", "rows", *PACKED).join(listed(counts, "counts"), "chunk").join(listed(values, "pairs"), "chunk")
+    fields = chunks.schema["rows"].dataType.elementType.fields
+    schema = T.StructType(fields + T._parse_datatype_string("n_tokens long, n_known long, base_score double, score double").fields)
+    at = rows.columns.index("rows")
 
     def run(batches):
         m = shared.value
-        memo = m.tokens()
-        hot_h = np.array(sorted(m.hot), np.uint64)
-        hot_c = np.array([m.hot[x] for x in hot_h.tolist()], np.float64)
-        hot_h, hot_c = np.append(hot_h, np.uint64(2**64 - 1)), np.log10(np.append(hot_c, 0) + 1)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
-                h, y, length = flat(texts_of(batch.column(0)), memo)
-                first = np.cumsum(length) - length
-                f = histories(h, length)
-                given = np.empty(len(h))
-                for lo in range(0, len(h), CHUNK):
-                    p = softmax(m.w, m.bias, f[:, lo : lo + CHUNK])
-                    given[lo : lo + CHUNK] = np.log10(p[np.arange(len(p)), y[lo : lo + CHUNK]])
-                given -= m.below[y]
-                place = np.searchsorted(hot_h, h)
-                is_hot = hot_h[place] == h
-                logs = np.where(is_hot, hot_c[place], 0.0)
-                doc = np.repeat(np.arange(len(length)), length)
-                cold = np.flatnonzero(~is_hot)
-                order = cold[np.lexsort((h[cold], doc[cold]))]
-                hs, ds = h[order], doc[order]
-                fresh = np.flatnonzero(np.concatenate(([True], (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])))) if len(order) else order
-                n = np.diff(np.append(fresh, len(order)))
-                ends = np.searchsorted(ds[fresh], np.arange(len(length) + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (hs[fresh].view(np.int64), n.astype(np.int32))]
-                sums = [pa.array(np.add.reduceat(x, first)) for x in (is_hot.astype(np.int64), logs, given)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(length), *sums, *lists], schema.names)
-
-    rows = written(inner.mapInArrow(run, schema), "scored")
-    cold = rows.select("__row", F.explode(F.arrays_zip("__h", "__n")).alias("x")).select("__row", F.col("x.__h").alias("h"), F.col("x.__n").alias("n"))
-    cold = cold.join(counts.select("h", "c"), "h").groupBy("__row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("logs"), F.sum("n").alias("known"))
-    logs, known = F.col("__logs") + F.coalesce("logs", F.lit(0.0)), F.col("__hot") + F.coalesce("known", F.lit(0))
-    each = F.log10(F.lit(float(model.total + model.distinct + 1)))
-    return rows.join(cold, "__row", "left").select(*keep, "n_tokens", known.alias("n_known"), (logs - F.col("n_tokens") * each).alias("base_score"), (logs + F.col("__given")).alias("score"))
+        for batch in batches:
+            lists = batch.column(at)
+            for i, row in enumerate(batch.select([c for c in batch.schema.names if c != "rows"]).to_pylist()):
+                chunk = Chunk(row)
+                c = np.empty(len(chunk.vocab))
+                c[np.argsort(chunk.vocab)] = np.concatenate([unpack(x["data"], np.int64) for x in row["counts"]])
+                keys, slot = m.pairs(chunk)
+                _, place = np.unique(keys, return_inverse=True)
+                log = np.concatenate([unpack(x["data"], np.float32) for x in row["pairs"]]).astype(np.float64)[place]
+                log += np.where(slot > m.most, np.log10((c + 1)[chunk.ids] / np.maximum(m.mass, 1)[slot]), 0.0)
+                f, y = m.features(chunk), m.kind[slot]
+                for lo in range(0, f.shape[1], PART):
+                    p = m.weights(f[:, lo : lo + PART])
+                    log[lo : lo + PART] += np.log10(p[y[lo : lo + PART], np.arange(p.shape[1])] / p.sum(0))
+                known = (c > 0)[chunk.ids].astype(np.int64)
+                base = np.log10((c + 1) / (m.total + m.distinct + 1))[chunk.ids]
+                sums = [pa.array(chunk.length)] + [pa.array(np.add.reduceat(x, chunk.first)) for x in (known, base, log)]
+                of = lists.slice(i, 1).flatten()
+                yield pa.RecordBatch.from_arrays([*[of.field(k) for k in range(len(fields))], *sums], schema.names)
+
+    return rows.mapInArrow(run, schema), model

@@ -43,8 +43,7 @@ def op3_toxicity(spark, sf_dir):
 def op4_lm(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
     held = crc_of_id() % 7 == 2
-    model, counts = lm.learn(docs.where(~held).select("text"))
-    out = lm.score(docs.select("doc_id", held.alias("held_out"), "text"), model, counts, keep=("doc_id", "held_out"))
+    out, model = lm.score(docs.select("doc_id", held.alias("held_out"), "text"), ~F.col("held_out"), keep=("doc_id", "held_out"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

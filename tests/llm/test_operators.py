@@ -101,24 +101,87 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score(empty, none).count() == 0 and toxicity.score(odd, none).count() == N_ODD
 
 
+def brute_lm(train, texts, m):
+    """log10 probabilities by dicts, one token at a time, given the class weights; and for some histories the sum over all slots."""
+    import xxhash
+
+    hashed = lambda w: lm.END if w is None else max(2, xxhash.xxh64_intdigest(w.encode()))
+    own = dict(zip(m.own.tolist(), m.own_slot.tolist(), strict=True))
+
+    def slot(w):
+        h = hashed(w)
+        return own[h] if h in own else int(lm.shared_slot(np.array([h], np.uint64), np.array([xxhash.xxh32_intdigest(w.encode()[-2:]) % lm.ENDINGS]), m.most)[0])
+
+    count, pairs = {}, {}
+    for t in train:
+        for a, w in zip([0, *map(hashed, t)], t, strict=False):
+            count[w] = count.get(w, 0) + 1
+            pairs[a, slot(w)] = pairs.get((a, slot(w)), 0) + 1
+    mass = np.zeros(lm.SLOTS)
+    mass[m.most + 1 : m.most + 1 + lm.ENDINGS * lm.shared_slots(m.most)] = 1
+    for w, c in count.items():
+        mass[slot(w)] += c + 1
+    of = np.bincount(m.kind, mass, lm.CLASSES)
+
+    def classes(h, at):
+        one, two = np.uint64(h[at - 1] if at else 0), np.uint64(h[at - 2] if at > 1 else 0)
+        x, low = lm.mix, np.uint64(lm.BUCKETS - 1)
+        rows = [int((x(v) & low)[0]) + k * lm.BUCKETS for k, v in enumerate((np.array([one + np.uint64(11)]), x(np.array([one + np.uint64(13)])) + two, np.array([two + np.uint64(17)])))]
+        z = m.w[:, rows].astype(float).sum(1) + np.log(of / of.sum())
+        return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    out, sums = [], []
+    with np.errstate(over="ignore"):
+        for k, t in enumerate(texts):
+            h, total = [hashed(w) for w in t], 0.0
+            for at, w in enumerate(t):
+                p, s, before = classes(h, at), slot(w), h[at - 1] if at else 0
+                seen = {q: c for (a, q), c in pairs.items() if a == before and m.kind[q] == m.kind[s]}
+                inside = lambda q: (seen.get(q, 0) + max(1, len(seen)) * mass[q] / of[m.kind[q]]) / (sum(seen.values()) + max(1, len(seen)))  # noqa: E731, B023
+                if k < 3 and at < 3:
+                    sums.append(sum(inside(q) for q in np.flatnonzero((m.kind == m.kind[s]) & (mass > 0))) * p.sum())
+                total += np.log10(p[m.kind[s]] * inside(s) * ((count.get(w, 0) + 1) / mass[s] if s > m.most else 1))
+            out.append(total)
+    return out, sums
+
+
 def test_lm(spark, odd, empty):
+    from pyspark.sql import functions as F
+
     rng = random.Random(5)
-    texts = ["The cat " * rng.randrange(1, 30) + words(rng, rng.randrange(80)) for _ in range(200)]
-    d = docs(spark, texts)
-    model, counts = lm.learn(d.select("text"))
-    got = lm.score(d, model, counts).toPandas().sort_values("doc_id")
-    train = [[w.lower() for w in t.split()] + ["\0"] for t in texts]
+    texts = ["The cat " * rng.randrange(1, 30) + words(rng, rng.randrange(80)) for _ in range(60)] + ["new words only", "the new cat"]
+    d, on = docs(spark, texts), F.col("doc_id") < 50
+    out, model = lm.score(d, on)
+    got = out.toPandas().sort_values("doc_id")
+    each = [[w.lower() for w in t.split()] + [None] for t in texts]
     c = {}
-    for t in train:
+    for t in each[:50]:
         for w in t:
             c[w] = c.get(w, 0) + 1
     n = sum(c.values())
-    want = [sum(np.log10((c[w] + 1) / (n + len(c) + 1)) for w in t) for t in train]
-    assert model.total == n and np.allclose(got.base_score, want) and (got.n_known == got.n_tokens).all() and got.score.sum() > got.base_score.sum()
-    out = lm.score(odd, model, counts).toPandas()
+    assert model.total == n and np.allclose(got.base_score, [sum(np.log10((c.get(w, 0) + 1) / (n + len(c) + 1)) for w in t) for t in each])
+    assert got.n_known.tolist() == [sum(w in c for w in t) for t in each] and got.n_tokens.tolist() == [len(t) for t in each]
+    want, sums = brute_lm(each[:50], each, model)
+    assert np.allclose(got.score, want, atol=2e-3) and np.allclose(sums, 1) and got.score.sum() > got.base_score.sum() + 100
+    many, _ = lm.score(d.repartition(7), on)
+    assert np.allclose(many.toPandas().sort_values("doc_id").score, got.score, atol=1e-3)
+    out = lm.score(odd, F.col("doc_id") > 3)[0].toPandas()
     assert len(out) == N_ODD and out.n_tokens.min() == 1 and np.isfinite(out.score).all()
-    model, counts = lm.learn(empty.select("text"))
-    assert lm.score(empty, model, counts).count() == 0
+    clash = odd.withColumn("chunk", F.lit(1)).withColumn("rows", F.lit("x")).withColumn("counts", F.lit(2))
+    assert lm.score(clash, F.lit(False), keep=("chunk", "rows", "counts"))[0].where("chunk = 1 and rows = 'x' and counts = 2").count() == N_ODD
+    assert lm.score(empty, F.lit(True))[0].count() == 0
+
+
+def test_lm_own_slots(spark):
+    """With room for few own slots, most tokens share slots: scores are still those of brute force."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(15)
+    texts = [words(rng, rng.randrange(5, 60), 300) for _ in range(40)]
+    out, model = lm.score(docs(spark, texts), F.col("doc_id") < 30, own=40)
+    each = [[*t.split(), None] for t in texts]
+    want, sums = brute_lm(each[:30], each, model)
+    assert np.allclose(out.toPandas().sort_values("doc_id").score, want, atol=2e-3) and np.allclose(sums, 1)
 
 
 def test_decontam(spark, odd, empty):
