@@ -38,10 +38,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return _paths[-1]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it back. Survives the loss of any executor."""
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Cut the lineage: write df as a table in the shared folder and read it back. Survives the loss of any executor. Tables of large
+    values that are compressed already are best written without: the codec's buffers lie outside the heap."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -105,7 +105,7 @@ def chunked(df: DataFrame, train: Column, text: str, keep) -> DataFrame:
         if ids:
             yield out()
 
-    return written(inner.mapInArrow(run, schema), "chunks")
+    return written(inner.mapInArrow(run, schema), "chunks", "uncompressed")
 
 
 PACKED = ["length", "train", "vocab", "ending", "ids"]
@@ -161,7 +161,7 @@ def exchange(messages: DataFrame, answer, buckets: int, extra: str = "") -> Data
         if held:
             yield out()
 
-    return written(rows.mapInArrow(run, schema), "answers")
+    return written(rows.mapInArrow(run, schema), "answers", "uncompressed")
 
 
 def send(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,8 +227,7 @@ class Model:
         at = np.minimum(np.searchsorted(self.own, chunk.vocab), len(self.own) - 1)
         return np.where(self.own[at] == chunk.vocab, self.own_slot[at], shared_slot(chunk.vocab, chunk.ending, self.most))
 
-    def features(self, chunk: Chunk) -> np.ndarray:
-        one, two = chunk.histories()
+    def features(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         low = np.uint64(BUCKETS - 1)
         return np.stack([mix(one + np.uint64(11)) & low, (mix(mix(one + np.uint64(13)) + two) & low) + np.uint64(BUCKETS), (mix(two + np.uint64(17)) & low) + np.uint64(2 * BUCKETS)]).astype(np.int64)
 
@@ -301,19 +300,19 @@ def summed(chunks: DataFrame, model: Model, expected: bool) -> np.ndarray:
     def run(batches):
         m, out = shared.value, np.zeros((CLASSES, width))
         for _, chunk in chunks_of(batches):
-            f = m.features(chunk)[:, chunk.on]
-            if expected:
-                for lo in range(0, f.shape[1], PART):
-                    part = f[:, lo : lo + PART]
+            one, two = (x[chunk.on] for x in chunk.histories())
+            y = None if expected else m.kind[m.slots(chunk)][chunk.ids[chunk.on]]
+            for lo in range(0, len(one), PART):
+                part = m.features(one[lo : lo + PART], two[lo : lo + PART])
+                if expected:
                     p = m.weights(part)
                     p /= p.sum(0)
                     for c in range(CLASSES):
                         for rows in part:
                             out[c] += np.bincount(rows, p[c], width)
-            else:
-                y = m.kind[m.slots(chunk)[chunk.ids]][chunk.on]
-                for rows in f:
-                    out += np.bincount(y * width + rows, minlength=CLASSES * width).reshape(CLASSES, width)
+                else:
+                    for rows in part:
+                        np.add.at(out.reshape(-1), y[lo : lo + PART] * width + rows, 1)
         blocks = [out[:, lo : lo + BLOCK] for lo in range(0, width, BLOCK)]
         some = [i for i, b in enumerate(blocks) if b.any()]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([pack(blocks[i].ravel()) for i in some], pa.binary())], ["block", "data"])
@@ -394,13 +393,14 @@ def score(df: DataFrame, train: Column, text: str = "text", keep=("doc_id",), ow
                 c = np.empty(len(chunk.vocab))
                 c[np.argsort(chunk.vocab)] = np.concatenate([unpack(x["data"], np.int64) for x in row["counts"]])
                 keys, slot = m.pairs(chunk)
-                _, place = np.unique(keys, return_inverse=True)
+                place = np.unique(keys, return_inverse=True)[1]
+                del keys
                 log = np.concatenate([unpack(x["data"], np.float32) for x in row["pairs"]]).astype(np.float64)[place]
                 log += np.where(slot > m.most, np.log10((c + 1)[chunk.ids] / np.maximum(m.mass, 1)[slot]), 0.0)
-                f, y = m.features(chunk), m.kind[slot]
-                for lo in range(0, f.shape[1], PART):
-                    p = m.weights(f[:, lo : lo + PART])
-                    log[lo : lo + PART] += np.log10(p[y[lo : lo + PART], np.arange(p.shape[1])] / p.sum(0))
+                one, two = chunk.histories()
+                for lo in range(0, len(one), PART):
+                    p, y = m.weights(m.features(one[lo : lo + PART], two[lo : lo + PART])), m.kind[slot[lo : lo + PART]]
+                    log[lo : lo + PART] += np.log10(p[y, np.arange(len(y))] / p.sum(0))
                 known = (c > 0)[chunk.ids].astype(np.int64)
                 base = np.log10((c + 1) / (m.total + m.distinct + 1))[chunk.ids]
                 sums = [pa.array(chunk.length)] + [pa.array(np.add.reduceat(x, chunk.first)) for x in (known, base, log)]
