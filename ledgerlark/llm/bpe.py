@@ -10,7 +10,6 @@ import base64
 import hashlib
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+# Fixed value: the pattern under which a blank that stands alone between two other characters begins a pre-token, and none spans it.
+WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 @lru_cache(4)
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -132,6 +135,12 @@ class Vocabulary:
         return np.where(self.keys[at] == key, self.values[at], self.NONE)
 
 
+@lru_cache(4)
+def vocabulary(path: str) -> Vocabulary:
+    """Made once in a worker, whose tasks share it."""
+    return Vocabulary(path)
+
+
 def merge_all(pieces: list[bytes], voc: Vocabulary) -> list[list[int]]:
     """merge() for many pre-tokens through one rank queue: their positions stand end to end in one linked list, broken between
     pre-tokens, and a bucket's live positions are merged together. Of equal pairs that overlap the leftmost go first. A pre-token in
@@ -256,11 +265,13 @@ class Codec:
     SHORT, AT_ONCE = 64, 3_000_000
     MARK = "\x0b"  # white space, and so a pre-token of its own between a word and the blank before the next
 
-    def __init__(self, path: str, pattern: str, most: int = 250_000, with_ids: bool = True):
+    def __init__(self, path: str, pattern: str, most: int = 100_000, with_ids: bool = True):
         import regex
 
-        self.voc, self.most, self.with_ids = Vocabulary(path), most, with_ids
-        self.find = regex.compile(pattern).findall
+        self.voc, self.most, self.with_ids = vocabulary(path), most, with_ids
+        self.wordwise = pattern == WORDWISE
+        each = regex.compile(pattern).finditer
+        self.find = regex.compile(pattern).findall if self.wordwise else lambda t: [m[0] for m in each(t)]
         self.names = {i: str(i) for i in self.voc.bytes_of}
         self.pieces: dict[str, list[int]] = {}
         self.words: dict[str, tuple] = {}
@@ -272,12 +283,13 @@ class Codec:
         known, ids = self.pieces, []
         for p in pieces:
             ids += known[p] if len(p) <= self.SHORT else merge(p.encode(), self.voc.ranks, self.voc.longest)
-        return " ".join(map(self.names.__getitem__, ids)), len(ids), self.decode(ids), tuple(ids) if self.with_ids else ()
+        return " ".join(map(self.names.__getitem__, ids)), len(ids), self.decode(ids), np.array(ids, np.int32).tobytes() if self.with_ids else b""
 
     def entries(self, texts: list[str]):
-        """For each text its parts in order, as (decimal ids joined by spaces, their number, the bytes they decode to, the ids).
-        Where each space stands alone between two other characters, a pre-token begins at each space and nowhere else across it, so
-        the words between spaces can be looked up one by one; other texts are one part."""
+        """For each text its parts in order, as (decimal ids joined by spaces, their number, the bytes they decode to, the ids as 32-bit numbers).
+        Under the pattern WORDWISE, where each space stands alone between two other characters, a pre-token begins at each space and
+        nowhere else across it, so the words between spaces can be looked up one by one; other texts, and all under other patterns, are
+        one part."""
         at = 0
         while at < len(texts):
             size, end = 0, at
@@ -292,7 +304,7 @@ class Codec:
             self.words.clear()
         if len(self.pieces) > self.most:
             self.pieces.clear()
-        split = [t.split(" ") for t in texts]
+        split = [t.split(" ") if self.wordwise else [t] for t in texts]
         fresh = set().union(*[x[1:] for x in split]).difference(self.words)
         uneven = {w for w in fresh if not w or w[0].isspace() or w[-1].isspace() or self.MARK in w}
         fresh -= uneven
@@ -342,7 +354,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: lis
                 if "n_tokens" in got:
                     got["n_tokens"].append(sum([x[1] for x in e]))
                 if "ids" in got:
-                    got["ids"].append(np.fromiter(chain.from_iterable([x[3] for x in e]), np.int32))
+                    got["ids"].append(np.frombuffer(b"".join([x[3] for x in e]), np.int32))
                 if "ids_sha256" in got:
                     got["ids_sha256"].append(hashlib.sha256(" ".join([x[0] for x in e if x[1]]).encode()).hexdigest())
                 if "decoded" in got or "decoded_sha256" in got:

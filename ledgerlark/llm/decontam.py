@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, mix, shingles, token_hash, word_hashes, written
+from .common import Memo, maybe, mix, shingles, token_hash, word_hashes, written
 
 SHINGLE, LEAST = 5, 0.8
 HASHES, BITS, PROBES = 32, 1 << 22, 3
@@ -195,8 +195,13 @@ def leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "tex
 
 
 def clean(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df that hold no item. Rows are known by key and a digest of the text: rows equal in both share the verdict."""
-    mark = F.xxhash64(F.col(text).cast("string"), F.lit(7))
-    marked = df.withColumn("__mark", F.struct(F.col(key).alias("id"), mark.alias("digest")))
-    bad = leaks(marked, items, "__mark", text).select(F.col("__mark.id").alias("__id"), F.col("__mark.digest").alias("__digest")).distinct()
-    return marked.join(bad, F.col("__mark.id").eqNullSafe(F.col("__id")) & (F.col("__mark.digest") == F.col("__digest")), "left_anti").drop("__mark")
+    """The rows of df that hold no item. Rows are known by key and a digest of the text: rows equal in both share the verdict. A row that
+    the bitmap of those with an item misses stays; only the few that it has are looked up, and shuffled with their text."""
+    digest = F.xxhash64(F.col(text).cast("string"), F.lit(7))
+    marked = df.withColumn("__mark", F.struct(F.col(key).alias("id"), digest.alias("digest")))
+    bad = written(leaks(marked, items, "__mark", text).select("__mark").distinct(), "bad")
+    marked = maybe(marked, "__mark", bad, "__bad")
+    bad = bad.select(F.col("__mark.id").alias("__id"), F.col("__mark.digest").alias("__digest"))
+    same = F.col("__mark.id").eqNullSafe(F.col("__id")) & (F.col("__mark.digest") == F.col("__digest"))
+    doubt = marked.where("__bad").join(bad, same, "left_anti")
+    return marked.where("not __bad").unionByName(doubt).drop("__mark", "__bad")

@@ -30,13 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, clear, last, mark, mix, shingles, spread, token_hash, word_hashes, written
+from .common import Memo, clear, last, mark, maybe, mix, shingles, spread, token_hash, word_hashes, written
 
 SHINGLE = 5
 SKETCHES, PICKS = 20, 2
 PART_ROWS, SMALL = 512, 32
 SEEN = 100_000  # rows that a task remembers at a time, to read repeated rows once
-WORDS = 1 << 20  # of 64 bits each, in the filter of ids
 SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -211,23 +210,6 @@ def tested(ids: np.ndarray, roots: np.ndarray, sides: np.ndarray, seqs: list[np.
     return found
 
 
-def place(id, seed: int = 0) -> tuple:
-    """Word and bit of an id in a filter."""
-    at = F.pmod(F.xxhash64(id, F.lit(seed)), F.lit(64 * WORDS))
-    return F.shiftright(at, 6), F.pmod(at, F.lit(64)).cast("int")
-
-
-def maybe(rows: DataFrame, id: str, ids: DataFrame, out: str, seed: int = 0) -> DataFrame:
-    """Add the boolean `out`: true for rows whose id is in the one column of ids, and for few others, without a shuffle of rows: what is
-    broadcast is a bitmap of at most WORDS words whatever the number of ids. Past some ten million ids it is true for more and more, and
-    only the saving is lost."""
-    word, bit = place(F.col(ids.columns[0]), seed)
-    bitmap = ids.select(word.alias("__word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")).groupBy("__word").agg(F.bit_or("b").alias("__bits"))
-    word, bit = place(F.col(id), seed)
-    hit = F.coalesce(F.call_function("getbit", F.col("__bits"), bit) == 1, F.lit(False))
-    return rows.join(F.broadcast(bitmap), word == F.col("__word"), "left").withColumn(out, hit).drop("__word", "__bits")
-
-
 def dealt(roles: DataFrame, reps: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
     """roles: id and other columns; reps: id, __digest and key of one row of each distinct text of df. The other columns and seq, the
     sequence of the id's text. Sequences are made anew from the texts that have a role, so none are stored."""

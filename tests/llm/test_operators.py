@@ -338,6 +338,17 @@ def test_bpe(spark, odd, empty):
     assert bpe.encode(odd, PATH, P.PATTERN).count() == N_ODD and bpe.encode(empty, PATH, P.PATTERN).count() == 0
 
 
+def test_bpe_other_pattern(spark):
+    """A pattern with groups under which pre-tokens span blanks: whole texts are searched."""
+    import tiktoken
+
+    pattern = r"(\w+ \w+)|\s+|\S"
+    enc = tiktoken.Encoding("own", pat_str=r"(?:\w+ \w+)|\s+|\S", mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
+    texts = ["one two three four", "a b  c d", "", "é è - x"]
+    got = {r.doc_id: list(r.ids) for r in bpe.encode(docs(spark, texts), PATH, pattern, keep=["doc_id"]).collect()}
+    assert got == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)} and bpe.WORDWISE == P.PATTERN
+
+
 def test_find_spans_in_long_arrays(spark):
     d = spark.createDataFrame([("é1 " * 500,)], "t string").select(common.find_spans(__import__("pyspark").sql.functions.col("t"), "[0-9]").alias("s"))
     assert [x.start for x in d.first().s] == [3 * i + 1 for i in range(500)]
