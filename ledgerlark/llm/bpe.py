@@ -8,14 +8,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import tidy
+
 
 # Fixed value: the pattern under which a blank that stands alone between two other characters begins a pre-token, and none spans it.
 WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -118,15 +122,18 @@ class Vocabulary:
     def __init__(self, path: str):
         self.ranks = load_ranks(path)
         self.bytes_of = {v: k for k, v in self.ranks.items()}
+        self.names = {i: str(i) for i in self.bytes_of}
         self.longest = max(map(len, self.ranks), default=1)
-        pairs, get = [], self.ranks.get
+        keys, values, get = array("q"), array("q"), self.ranks.get
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
                 left, right = get(token[:i]), get(token[i:])
                 if left is not None and right is not None:
-                    pairs.append((left << 32 | right, rank))
-        both = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-        self.keys, self.values = np.append(both[:, 0], np.int64(2**62)), np.append(both[:, 1], self.NONE)
+                    keys.append(left << 32 | right)
+                    values.append(rank)
+        keys, values = np.array(keys, np.int64), np.array(values, np.int64)
+        order = np.argsort(keys)
+        self.keys, self.values = np.append(keys[order], np.int64(2**62)), np.append(values[order], self.NONE)
         self.single = np.array([get(bytes([i]), -1) for i in range(256)], np.int64)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -141,6 +148,15 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def once(x: np.ndarray) -> np.ndarray:
+    """Sorted, without repeats; for many small arrays quicker than numpy.unique."""
+    x = np.sort(x)
+    fresh = np.empty(len(x), bool)
+    fresh[:1] = True
+    np.not_equal(x[1:], x[:-1], out=fresh[1:])
+    return x[fresh]
+
+
 def merge_all(pieces: list[bytes], voc: Vocabulary) -> list[list[int]]:
     """merge() for many pre-tokens through one rank queue: their positions stand end to end in one linked list, broken between
     pre-tokens, and a bucket's live positions are merged together. Of equal pairs that overlap the leftmost go first. A pre-token in
@@ -187,7 +203,7 @@ def merge_all(pieces: list[bytes], voc: Vocabulary) -> list[list[int]]:
         at = at[now[at] == rank]  # the rest is stale
         if len(at) > 1:
             if mixed:
-                at = np.unique(at)
+                at = once(at)
             head = before[at]
             head = (head < 0) | (now[head] != rank)
             if not head.all():
@@ -204,7 +220,7 @@ def merge_all(pieces: list[bytes], voc: Vocabulary) -> list[list[int]]:
         before[end[more]] = at[more]
         left = before[at]
         left = left[left >= 0]
-        fresh = np.unique(np.concatenate((at, left)))
+        fresh = once(np.concatenate((at, left)))
         follow = after[fresh]
         got = np.full(len(fresh), voc.NONE)
         more = follow >= 0
@@ -258,38 +274,68 @@ class BatchQueue(RankQueue):
         return (rank, bucket[0], False) if len(bucket) == 1 else (rank, np.concatenate(bucket), True)
 
 
+def stretches(flat: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches numbered `which` of a flat array end to end, and their lengths. Stretch i ends at ends[i + 1]."""
+    length = ends[which + 1] - ends[which]
+    to = np.cumsum(length)
+    return flat[np.repeat(ends[which] - to + length, length) + np.arange(to[-1] if len(to) else 0)], length
+
+
+class Shelf:
+    """Ids of remembered keys, in one flat array. Long keys are put last and forgotten after the batch."""
+
+    def __init__(self):
+        self.at, self.flat, self.ends, self.long = {}, np.zeros(0, np.int32), np.zeros(1, np.int64), []
+
+    def put(self, keys: list[str], flat: np.ndarray, length: np.ndarray, long: bool = False) -> None:
+        n = len(self.at)
+        self.at.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.flat = np.concatenate((self.flat, flat.astype(np.int32)))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(length)))
+        if long:
+            self.long = keys
+
+    def numbers(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
+
+    def settle(self, most: int) -> None:
+        """Forget the long keys, and all if there are more than `most`."""
+        for k in self.long:
+            del self.at[k]
+        if len(self.at) > most:
+            self.at.clear()
+        n = len(self.at)
+        self.long, self.ends = [], self.ends[: n + 1]
+        self.flat = self.flat[: self.ends[-1]]
+
+
 class Codec:
-    """Encoder and decoder over one vocabulary. Results of short pre-tokens and of words are remembered up to `most` of each, beyond
-    what the texts at hand need."""
+    """Encoder and decoder over one vocabulary. Ids of pre-tokens and words of up to SHORT characters are remembered, up to `most` of
+    each beyond what the texts at hand need."""
 
     SHORT, AT_ONCE = 64, 3_000_000
     MARK = "\x0b"  # white space, and so a pre-token of its own between a word and the blank before the next
 
-    def __init__(self, path: str, pattern: str, most: int = 100_000, with_ids: bool = True):
+    def __init__(self, path: str, pattern: str, most: int = 150_000):
         import regex
 
-        self.voc, self.most, self.with_ids = vocabulary(path), most, with_ids
+        self.voc, self.most = vocabulary(path), most
         self.wordwise = pattern == WORDWISE
         each = regex.compile(pattern).finditer
         self.find = regex.compile(pattern).findall if self.wordwise else lambda t: [m[0] for m in each(t)]
-        self.names = {i: str(i) for i in self.voc.bytes_of}
-        self.pieces: dict[str, list[int]] = {}
-        self.words: dict[str, tuple] = {}
+        self.pieces, self.words = Shelf(), Shelf()
 
-    def decode(self, ids) -> bytes:
+    def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.voc.bytes_of.__getitem__, ids))
 
-    def _join(self, pieces: list[str]) -> tuple:
-        known, ids = self.pieces, []
-        for p in pieces:
-            ids += known[p] if len(p) <= self.SHORT else merge(p.encode(), self.voc.ranks, self.voc.longest)
-        return " ".join(map(self.names.__getitem__, ids)), len(ids), self.decode(ids), np.array(ids, np.int32).tobytes() if self.with_ids else b""
-
-    def entries(self, texts: list[str]):
-        """For each text its parts in order, as (decimal ids joined by spaces, their number, the bytes they decode to, the ids as 32-bit numbers).
-        Under the pattern WORDWISE, where each space stands alone between two other characters, a pre-token begins at each space and
-        nowhere else across it, so the words between spaces can be looked up one by one; other texts, and all under other patterns, are
-        one part."""
+    def names(self, ids: list[int]) -> str:
+        """Decimal ids joined by spaces."""
+        return " ".join(map(self.voc.names.__getitem__, ids))
+
+    def encode(self, texts: list[str]):
+        """The ids of each text. Under the pattern WORDWISE, where each space stands alone between two other characters, a pre-token
+        begins at each space and nowhere else across it, so the words between spaces can be looked up one by one; other texts, and all
+        under other patterns, are searched as a whole."""
         at = 0
         while at < len(texts):
             size, end = 0, at
@@ -299,34 +345,45 @@ class Codec:
             yield from self._some(texts[at:end])
             at = end
 
+    def _learn(self, pieces: set[str]) -> None:
+        """Ids of pre-tokens not on the shelf: short ones merged together, long ones each with its own queue."""
+        new = pieces.difference(self.pieces.at)
+        short, long = [p for p in new if len(p) <= self.SHORT], [p for p in new if len(p) > self.SHORT]
+        ids = merge_all([p.encode() for p in short], self.voc)
+        self.pieces.put(short, *flattened(ids))
+        self.pieces.put(long, *flattened([merge(p.encode(), self.voc.ranks, self.voc.longest) for p in long]), long=True)
+
     def _some(self, texts: list[str]):
-        if len(self.words) > self.most:
-            self.words.clear()
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
         split = [t.split(" ") if self.wordwise else [t] for t in texts]
-        fresh = set().union(*[x[1:] for x in split]).difference(self.words)
+        fresh = set().union(*[x[1:] for x in split]).difference(self.words.at)
         uneven = {w for w in fresh if not w or w[0].isspace() or w[-1].isspace() or self.MARK in w}
         fresh -= uneven
-        whole: list[tuple] = []
+        heads, tails = [], []
         for t, x in zip(texts, split, strict=True):
             even = len(x) == 1 or x[0] and not x[0][-1].isspace() and (not uneven or uneven.isdisjoint(x[1:]))
-            whole.append((self.find(x[0]), x) if even else (self.find(t), ()))
-        order = list(fresh)
+            heads.append(self.find(x[0] if even else t))
+            tails.append(x[1:] if even else [])
+        order = [w for w in fresh if len(w) <= self.SHORT] + [w for w in fresh if len(w) > self.SHORT]
         found = self.find((self.MARK + " ").join(["", *order])) if order else []
-        wanted = set(found).union(*[pieces for pieces, _ in whole])
-        new = [p for p in wanted if len(p) <= self.SHORT and p not in self.pieces]
-        self.pieces.update(zip(new, merge_all([p.encode() for p in new], self.voc), strict=True))
-        at = 1
-        for w in order:
-            try:
-                end = found.index(self.MARK, at)
-            except ValueError:
-                end = len(found)
-            self.words[w] = self._join(found[at:end])
-            at = end + 1
-        for pieces, x in whole:
-            yield [self._join(pieces), *map(self.words.__getitem__, x[1:])]
+        self._learn(set(found).union(*heads))
+        if order:
+            here = np.array([p == self.MARK for p in found])
+            ids, length = stretches(self.pieces.flat, self.pieces.ends, self.pieces.numbers([p for p in found if p != self.MARK]))
+            word = np.cumsum(here)[~here] - 1  # which word each pre-token is of
+            length = np.bincount(word, length, len(order)).astype(np.int64)
+            cut = sum(len(w) <= self.SHORT for w in order)
+            to = int(length[:cut].sum())
+            self.words.put(order[:cut], ids[:to], length[:cut])
+            self.words.put(order[cut:], ids[to:], length[cut:], long=True)
+        for head, tail in zip(heads, tails, strict=True):
+            first = stretches(self.pieces.flat, self.pieces.ends, self.pieces.numbers(head))[0]
+            yield np.concatenate((first, stretches(self.words.flat, self.words.ends, self.words.numbers(tail))[0])) if tail else first
+        self.words.settle(self.most)
+        self.pieces.settle(self.most)
+
+
+def flattened(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
 ROWS = 1000  # encoded at a time, so that a task holds the ids of so many texts only
@@ -347,18 +404,19 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: lis
     schema = T.StructType([f for f in inner.schema.fields if f.name != "__text"] + [T.StructField(o, OUTPUTS[o], False) for o in outputs])
 
     def run(batches):
-        codec = Codec(path, pattern, with_ids="ids" in outputs)
+        codec = Codec(path, pattern)
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             got: dict[str, list] = {o: [] for o in outputs}
-            for e in codec.entries([t or "" for t in batch.column(0).to_pylist()]):
+            for e in codec.encode([t or "" for t in batch.column(0).to_pylist()]):
+                ids = e.tolist()
                 if "n_tokens" in got:
-                    got["n_tokens"].append(sum([x[1] for x in e]))
+                    got["n_tokens"].append(len(ids))
                 if "ids" in got:
-                    got["ids"].append(np.frombuffer(b"".join([x[3] for x in e]), np.int32))
+                    got["ids"].append(e)
                 if "ids_sha256" in got:
-                    got["ids_sha256"].append(hashlib.sha256(" ".join([x[0] for x in e if x[1]]).encode()).hexdigest())
+                    got["ids_sha256"].append(hashlib.sha256(codec.names(ids).encode()).hexdigest())
                 if "decoded" in got or "decoded_sha256" in got:
-                    raw = b"".join([x[2] for x in e])
+                    raw = codec.decode(ids)
                     if "decoded" in got:
                         got["decoded"].append(raw)
                     if "decoded_sha256" in got:
@@ -367,7 +425,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: lis
             columns = batch.columns[1:] + [pa.array(got[o], types.get(o, pa.string())) for o in outputs]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
 
-    return inner.mapInArrow(run, schema)
+    return inner.mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -382,4 +440,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
             raw = [None if x is None else b"".join(map(bytes_of.__getitem__, x)) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + [pa.array(raw, pa.binary())], names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,10 +148,25 @@ def find_spans(text: Column, pattern: str, gate: Column | None = None) -> Column
     return F.when(some, let(both, place)).otherwise(F.array().cast(SPAN)).cast(SPAN)
 
 
+def tidy(run):
+    """run (a function for mapInArrow) that gives the memory of a finished task back to the machine: workers live on between stages, and
+    what they hold free counts all the same."""
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # another C library
+
+    return tidied
+
+
 class Memo(dict):
     """A function's results by token, forgotten all at once when there are `most`, so memory is bounded."""
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 150_000):
         super().__init__()
         self.make, self.most = make, most
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, maybe, mix, shingles, token_hash, word_hashes, written
+from .common import Memo, maybe, mix, shingles, tidy, token_hash, word_hashes, written
 
 SHINGLE, LEAST = 5, 0.8
 HASHES, BITS, PROBES = 32, 1 << 22, 3
@@ -65,7 +65,7 @@ def read_items(items: DataFrame, item: str, text: str) -> DataFrame:
             columns = [pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays([left.column(0), left.column(1), *columns], schema.names)
 
-    return inner.mapInArrow(run, schema)
+    return inner.mapInArrow(tidy(run), schema)
 
 
 def places(x: np.ndarray) -> list[np.ndarray]:
@@ -86,7 +86,7 @@ def bitmap(df: DataFrame, column: str) -> np.ndarray:
             x = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(places(x))).astype(np.int32))], ["x"])
 
-    at = df.select(column).mapInArrow(run, "x int").distinct().toPandas()["x"].to_numpy(np.int64)
+    at = df.select(column).mapInArrow(tidy(run), "x int").distinct().toPandas()["x"].to_numpy(np.int64)
     bits = np.zeros(BITS // 8, np.uint8)
     np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
     return bits
@@ -176,7 +176,7 @@ def read_documents(df: DataFrame, key: str, text: str, shapes: dict[int, list[in
                 columns = [pa.array([sorted(found[d]) for d in order], pa.list_(pa.int64())), pa.array([np.concatenate(have[d]) for d in order], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([left.column(0), left.column(1), *columns], schema.names)
 
-    return inner.mapInArrow(run, schema)
+    return inner.mapInArrow(tidy(run), schema)
 
 
 def leaks(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:

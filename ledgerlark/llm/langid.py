@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, folded, written
+from .common import Memo, folded, tidy, written
 
 BUCKETS, ALPHA = 1 << 15, 0.1
 MOST_LANGUAGES = 64
@@ -60,7 +60,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(got.ravel()[at])], ["cell", "n"])
 
     if langs:
-        got = rows.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # languages x BUCKETS
+        got = rows.mapInArrow(tidy(run), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # languages x BUCKETS
         counts.ravel()[got.cell.to_numpy()] += got.n.to_numpy()
     return langs, np.log(counts / counts.sum(1, keepdims=True)) if langs else counts
 
@@ -89,7 +89,7 @@ def text_evidence(pages: DataFrame, logs: np.ndarray, key: str, url: str, html:
             like = [(TEMPER * table[:, word_buckets(_drop.sub(" ", t), memo)].sum(1)).tolist() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(like, pa.list_(pa.float64()))], schema.names)
 
-    return inner.mapInArrow(run, schema)
+    return inner.mapInArrow(tidy(run), schema)
 
 
 def plus(*arrays: Column) -> Column:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, written
+from .common import mix, tidy, written
 
 HEADS, ENDINGS = 7, 24
 CLASSES = 1 + HEADS + ENDINGS
@@ -105,7 +105,7 @@ def chunked(df: DataFrame, train: Column, text: str, keep) -> DataFrame:
         if ids:
             yield out()
 
-    return written(inner.mapInArrow(run, schema), "chunks", "uncompressed")
+    return written(inner.mapInArrow(tidy(run), schema), "chunks", "uncompressed")
 
 
 PACKED = ["length", "train", "vocab", "ending", "ids"]
@@ -161,7 +161,7 @@ def exchange(messages: DataFrame, answer, buckets: int, extra: str = "") -> Data
         if held:
             yield out()
 
-    return written(rows.mapInArrow(run, schema), "answers", "uncompressed")
+    return written(rows.mapInArrow(tidy(run), schema), "answers", "uncompressed")
 
 
 def send(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +182,7 @@ def messages_of(chunks: DataFrame, make, buckets: int) -> DataFrame:
             joined = pa.StructArray.from_arrays(data, ["x0", "x1"])
             yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * len(which), pa.int64()), pa.array(which), joined], ["chunk", "bucket", "data"])
 
-    return chunks.select("chunk", *PACKED).mapInArrow(run, "chunk long, bucket long, data struct<x0:binary,x1:binary>")
+    return chunks.select("chunk", *PACKED).mapInArrow(tidy(run), "chunk long, bucket long, data struct<x0:binary,x1:binary>")
 
 
 def tokens_of(chunk: Chunk):
@@ -325,7 +325,7 @@ def summed(chunks: DataFrame, model: Model, expected: bool) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([pack(x) for x in held.values()], pa.binary())], ["block", "data"])
 
     schema = "block long, data binary"
-    rows = chunks.select(*PACKED).mapInArrow(run, schema).repartition(width // BLOCK, "block").mapInArrow(add, schema).collect()  # FEATURES x BUCKETS x CLASSES numbers
+    rows = chunks.select(*PACKED).mapInArrow(tidy(run), schema).repartition(width // BLOCK, "block").mapInArrow(tidy(add), schema).collect()  # FEATURES x BUCKETS x CLASSES numbers
     shared.unpersist()
     out = np.zeros((CLASSES, width))
     for r in rows:
@@ -407,4 +407,4 @@ def score(df: DataFrame, train: Column, text: str = "text", keep=("doc_id",), ow
                 of = lists.slice(i, 1).flatten()
                 yield pa.RecordBatch.from_arrays([*[of.field(k) for k in range(len(fields))], *sums], schema.names)
 
-    return rows.mapInArrow(run, schema), model
+    return rows.mapInArrow(tidy(run), schema), model

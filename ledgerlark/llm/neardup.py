@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, clear, last, mark, maybe, mix, shingles, spread, token_hash, word_hashes, written
+from .common import Memo, clear, last, mark, maybe, mix, shingles, spread, tidy, token_hash, word_hashes, written
 
 SHINGLE = 5
 SKETCHES, PICKS = 20, 2
@@ -100,7 +100,7 @@ def sketches(df: DataFrame, key: str, text: str, carry=()) -> DataFrame:
                 keys.append(sketch(shingles(h, SHINGLE)).view(np.int64))
             yield pa.RecordBatch.from_arrays(batch.columns[1:] + [pa.array(digest, pa.binary()), pa.array(n, pa.int32()), lists(keys, pa.int64())], [f.name for f in schema.fields])
 
-    return inner.mapInArrow(run, schema)
+    return inner.mapInArrow(tidy(run), schema)
 
 
 def sequences(df: DataFrame, mark: str, text: str) -> DataFrame:
@@ -124,7 +124,7 @@ def sequences(df: DataFrame, mark: str, text: str) -> DataFrame:
                 seq.append((s >> np.uint64(32)).astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(digest, pa.binary()), lists(seq, pa.int32())], [mark, "__digest", "__seq"])
 
-    return inner.mapInArrow(run, f"`{mark}` long, __digest binary, __seq array<int>")
+    return inner.mapInArrow(tidy(run), f"`{mark}` long, __digest binary, __seq array<int>")
 
 
 class Leader:
@@ -247,7 +247,7 @@ def links(pairs: DataFrame, reps: DataFrame, df: DataFrame, key: str, text: str)
                         vs.append(member)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(tidy(run), "u long, v long")
 
 
 def buckets(reps: DataFrame) -> DataFrame:
@@ -316,7 +316,7 @@ def missed(tiles: DataFrame, reps: DataFrame, df: DataFrame, key: str, text: str
         if held:
             yield out()
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(tidy(run), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:

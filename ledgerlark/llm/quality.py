@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, mix
+from .common import Memo, mix, tidy
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -104,7 +104,7 @@ BASE = ("few_words", "repeated_windows")
 
 
 def hashed_words() -> Memo:
-    return Memo(lambda w: xxhash.xxh64_intdigest(w), 300_000)
+    return Memo(lambda w: xxhash.xxh64_intdigest(w))
 
 
 def plan(texts: list[bytes], rules=None) -> list[dict]:
@@ -160,4 +160,4 @@ def cascade(df: DataFrame, text: str = "text", keep=("doc_id",), rules=None, ord
                 batch.columns[1:] + [pa.array(x, pa.int64()) for x in got] + [pa.array(base, pa.bool_()), pa.array(kept, pa.bool_()), pa.array(first, pa.string())], [f.name for f in schema.fields]
             )
 
-    return inner.mapInArrow(run, schema)
+    return inner.mapInArrow(tidy(run), schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, folded
+from .common import Memo, folded, tidy
 
 SAMPLE = 12_000
 SPACE, MODEL_TERMS, FACTORS = 1 << 20, 3072, 8
@@ -125,7 +125,7 @@ def learn(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         at = np.flatnonzero(got.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(got[0, at], rows[0]), pa.int64()), pa.array(np.append(got[1, at], rows[1]), pa.int64())], ["term", "n0", "n1"])
 
-    counted = chosen.mapInArrow(count, "term int, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counted = chosen.mapInArrow(tidy(count), "term int, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     counted = counted.where("term < 0 or n0 + n1 >= 4").toPandas()  # SPACE rows at most
     total = counted[counted.term < 0]
     n0, n1 = (int(total.n0.sum()), int(total.n1.sum())) if len(total) else (0, 0)
@@ -144,7 +144,7 @@ def learn(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             at = [found(text_terms(t, of), terms).tolist() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(at, pa.list_(pa.int32()))], ["y", "x"])
 
-    got = chosen.mapInArrow(places, "y int, x array<int>").toPandas()  # `rows` rows of at most MODEL_TERMS places
+    got = chosen.mapInArrow(tidy(places), "y int, x array<int>").toPandas()  # `rows` rows of at most MODEL_TERMS places
     return model.fit([np.array(x, np.int64) for x in got.x], (got.y.to_numpy() > 0).astype(np.float32))
 
 
@@ -180,4 +180,4 @@ def score(df: DataFrame, model: Machine, text: str = "text", out: str = "score",
             else:
                 yield pa.RecordBatch.from_arrays(batch.columns[1:], schema.names).filter(pa.array(scores < below))
 
-    return inner.mapInArrow(run, schema)
+    return inner.mapInArrow(tidy(run), schema)
