@@ -117,7 +117,7 @@ def merge(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
 class Vocabulary:
     """Ranks, and for every pair of tokens whose bytes together are a token that token's rank, as sorted arrays."""
 
-    NONE = 1 << 30
+    NONE = np.int32(1 << 30)
 
     def __init__(self, path: str):
         self.ranks = load_ranks(path)
@@ -133,11 +133,11 @@ class Vocabulary:
                     values.append(rank)
         keys, values = np.array(keys, np.int64), np.array(values, np.int64)
         order = np.argsort(keys)
-        self.keys, self.values = np.append(keys[order], np.int64(2**62)), np.append(values[order], self.NONE)
-        self.single = np.array([get(bytes([i]), -1) for i in range(256)], np.int64)
+        self.keys, self.values = np.append(keys[order], np.int64(2**62)), np.append(values[order], self.NONE).astype(np.int32)
+        self.single = np.array([get(bytes([i]), -1) for i in range(256)], np.int32)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.values[at], self.NONE)
 
@@ -148,6 +148,9 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+STRETCH = 100_000  # positions whose first ranks are looked up at a time
+
+
 def once(x: np.ndarray) -> np.ndarray:
     """Sorted, without repeats; for many small arrays quicker than numpy.unique."""
     x = np.sort(x)
@@ -176,12 +179,14 @@ def merge_all(pieces: list[bytes], voc: Vocabulary) -> list[list[int]]:
     ends = np.cumsum(length)
     n = len(raw)
     token = voc.single[raw]
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     after[ends - 1] = -1
     before[ends - length] = -1
-    now = np.full(n, voc.NONE)
-    some = np.flatnonzero(after >= 0)
-    now[some] = voc.pair_ranks(token[some], token[after[some]])
+    now = np.full(n, voc.NONE, np.int32)
+    some = np.flatnonzero(after >= 0).astype(np.int32)
+    for lo in range(0, len(some), STRETCH):
+        at = some[lo : lo + STRETCH]
+        now[at] = voc.pair_ranks(token[at], token[after[at]])
     queue, odd = BatchQueue(), []
 
     def push(at):
@@ -222,7 +227,7 @@ def merge_all(pieces: list[bytes], voc: Vocabulary) -> list[list[int]]:
         left = left[left >= 0]
         fresh = once(np.concatenate((at, left)))
         follow = after[fresh]
-        got = np.full(len(fresh), voc.NONE)
+        got = np.full(len(fresh), voc.NONE, np.int32)
         more = follow >= 0
         got[more] = voc.pair_ranks(token[fresh[more]], token[follow[more]])
         now[fresh] = got
@@ -281,49 +286,53 @@ def stretches(flat: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np
     return flat[np.repeat(ends[which] - to + length, length) + np.arange(to[-1] if len(to) else 0)], length
 
 
-class Shelf:
-    """Ids of remembered keys, in one flat array. Long keys are put last and forgotten after the batch."""
+class Shelf(dict):
+    """Numbers of keys in order of first use; the ids of each number's key stand in one flat array once `put` has them."""
 
     def __init__(self):
-        self.at, self.flat, self.ends, self.long = {}, np.zeros(0, np.int32), np.zeros(1, np.int64), []
+        self.forget()
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
 
-    def put(self, keys: list[str], flat: np.ndarray, length: np.ndarray, long: bool = False) -> None:
-        n = len(self.at)
-        self.at.update(zip(keys, range(n, n + len(keys)), strict=True))
-        self.flat = np.concatenate((self.flat, flat.astype(np.int32)))
-        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(length)))
-        if long:
-            self.long = keys
+    def forget(self) -> None:
+        self.clear()
+        self.new, self.size, self.flat, self.ends = [], 0, np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def numbers(self, keys: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
+        return np.fromiter(map(self.__getitem__, keys), np.int32, len(keys))
+
+    def put(self, flat: np.ndarray, length: np.ndarray) -> None:
+        """The ids of the new keys, in their order."""
+        self.size += sum(map(len, self.new))
+        self.flat, self.ends, self.new = np.concatenate((self.flat, flat)), np.concatenate((self.ends, self.ends[-1] + np.cumsum(length))), []
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return stretches(self.flat, self.ends, numbers)
 
     def settle(self, most: int) -> None:
-        """Forget the long keys, and all if there are more than `most`."""
-        for k in self.long:
-            del self.at[k]
-        if len(self.at) > most:
-            self.at.clear()
-        n = len(self.at)
-        self.long, self.ends = [], self.ends[: n + 1]
-        self.flat = self.flat[: self.ends[-1]]
+        """Forget all if there are more than `most` keys, or as many characters as so many keys of 16 have."""
+        if len(self) > most or self.size > 16 * most:
+            self.forget()
 
 
 class Codec:
-    """Encoder and decoder over one vocabulary. Ids of pre-tokens and words of up to SHORT characters are remembered, up to `most` of
-    each beyond what the texts at hand need."""
+    """Encoder and decoder over one vocabulary. Ids of pre-tokens and words are remembered, up to `most` of each beyond what the texts at
+    hand need."""
 
     SHORT, AT_ONCE = 64, 3_000_000
     MARK = "\x0b"  # white space, and so a pre-token of its own between a word and the blank before the next
 
-    def __init__(self, path: str, pattern: str, most: int = 150_000):
+    def __init__(self, path: str, pattern: str, most: int = 100_000):
         import regex
 
         self.voc, self.most = vocabulary(path), most
         self.wordwise = pattern == WORDWISE
         each = regex.compile(pattern).finditer
         self.find = regex.compile(pattern).findall if self.wordwise else lambda t: [m[0] for m in each(t)]
-        self.pieces, self.words = Shelf(), Shelf()
+        self.pieces, self.words, self.odd = Shelf(), Shelf(), np.zeros(0, bool)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.voc.bytes_of.__getitem__, ids))
@@ -345,41 +354,44 @@ class Codec:
             yield from self._some(texts[at:end])
             at = end
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Ids of pre-tokens not on the shelf: short ones merged together, long ones each with its own queue."""
-        new = pieces.difference(self.pieces.at)
-        short, long = [p for p in new if len(p) <= self.SHORT], [p for p in new if len(p) > self.SHORT]
-        ids = merge_all([p.encode() for p in short], self.voc)
-        self.pieces.put(short, *flattened(ids))
-        self.pieces.put(long, *flattened([merge(p.encode(), self.voc.ranks, self.voc.longest) for p in long]), long=True)
+    def _learn(self) -> None:
+        """Ids of the new pre-tokens: short ones merged together, long ones each with its own queue."""
+        new = self.pieces.new
+        ids: list = [None] * len(new)
+        short = [i for i, p in enumerate(new) if len(p) <= self.SHORT]
+        for i, x in zip(short, merge_all([new[i].encode() for i in short], self.voc), strict=True):
+            ids[i] = x
+        for i, p in enumerate(new):
+            if ids[i] is None:
+                ids[i] = merge(p.encode(), self.voc.ranks, self.voc.longest)
+        self.pieces.put(*flattened(ids))
 
     def _some(self, texts: list[str]):
-        split = [t.split(" ") if self.wordwise else [t] for t in texts]
-        fresh = set().union(*[x[1:] for x in split]).difference(self.words.at)
-        uneven = {w for w in fresh if not w or w[0].isspace() or w[-1].isspace() or self.MARK in w}
-        fresh -= uneven
         heads, tails = [], []
-        for t, x in zip(texts, split, strict=True):
-            even = len(x) == 1 or x[0] and not x[0][-1].isspace() and (not uneven or uneven.isdisjoint(x[1:]))
-            heads.append(self.find(x[0] if even else t))
-            tails.append(x[1:] if even else [])
-        order = [w for w in fresh if len(w) <= self.SHORT] + [w for w in fresh if len(w) > self.SHORT]
-        found = self.find((self.MARK + " ").join(["", *order])) if order else []
-        self._learn(set(found).union(*heads))
-        if order:
-            here = np.array([p == self.MARK for p in found])
-            ids, length = stretches(self.pieces.flat, self.pieces.ends, self.pieces.numbers([p for p in found if p != self.MARK]))
-            word = np.cumsum(here)[~here] - 1  # which word each pre-token is of
-            length = np.bincount(word, length, len(order)).astype(np.int64)
-            cut = sum(len(w) <= self.SHORT for w in order)
-            to = int(length[:cut].sum())
-            self.words.put(order[:cut], ids[:to], length[:cut])
-            self.words.put(order[cut:], ids[to:], length[cut:], long=True)
+        for t in texts:
+            head, *tail = t.split(" ") if self.wordwise else [t]
+            heads.append(head)
+            tails.append(self.words.numbers(tail))
+        uneven = [not w or w[0].isspace() or w[-1].isspace() or self.MARK in w for w in self.words.new]
+        self.odd = np.concatenate((self.odd, np.array(uneven, bool)))
+        fresh = [w for w, no in zip(self.words.new, uneven, strict=True) if not no]
+        mark = self.pieces[self.MARK]
+        found = self.pieces.numbers(self.find((self.MARK + " ").join(["", *fresh])) if fresh else [])
+        for i, (t, head, tail) in enumerate(zip(texts, heads, tails, strict=True)):
+            if len(tail) and (not head or head[-1].isspace() or self.odd[tail].any()):
+                head, tails[i] = t, tail[:0]
+            heads[i] = self.pieces.numbers(self.find(head))
+        self._learn()
+        here = found == mark
+        ids, length = self.pieces.ids(found[~here])
+        word = np.flatnonzero(~np.array(uneven, bool))[np.cumsum(here)[~here] - 1]  # which new word each pre-token is of
+        self.words.put(ids, np.bincount(word, length, len(uneven)).astype(np.int64))
         for head, tail in zip(heads, tails, strict=True):
-            first = stretches(self.pieces.flat, self.pieces.ends, self.pieces.numbers(head))[0]
-            yield np.concatenate((first, stretches(self.words.flat, self.words.ends, self.words.numbers(tail))[0])) if tail else first
+            first = self.pieces.ids(head)[0]
+            yield np.concatenate((first, self.words.ids(tail)[0])) if len(tail) else first
         self.words.settle(self.most)
         self.pieces.settle(self.most)
+        self.odd = self.odd[: len(self.words)]
 
 
 def flattened(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
