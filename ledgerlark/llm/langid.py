@@ -2,12 +2,13 @@
 
 For each page: the text's likelihood by language (words hashed to BUCKETS, add-ALPHA frequencies counted over all labelled texts), the
 language that its markup declares, the suffix of its address, and a prior of its host. What a declaration or a suffix is worth and the
-priors come from the pages themselves by grouped aggregation of what their texts alone say: P(declared | language) and
-P(suffix | language) smoothed towards the whole, and host priors smoothed towards the domain's, the domain's towards the suffix's, and
-that towards all pages'. The log terms are added; the posterior is their softmax.
+priors come from the other pages by grouped aggregation of what their texts alone say: P(declared | language) and P(suffix | language)
+smoothed towards the whole, and host priors smoothed towards the domain's, the domain's towards all pages'. Each page's own text is
+taken out of the counts that judge it. The log terms are added; the posterior is their softmax.
 
-Scale: texts are read once, then narrow rows; the grouped counts are joined back on their keys, where a host with a third of all pages
-is a skewed join that adaptive execution splits; nothing grows on the driver but languages x BUCKETS.
+Scale: texts are read once, then narrow rows; the grouped counts are joined back on their keys, those of frequent hosts, domains, suffixes and
+declarations over salts. On the driver and in each task: a number for each language and bucket, for all languages that occur (codes of
+two or three letters).
 
 Defined results: a null or empty page has no text evidence and is judged by the rest; a null address has the host ''; a page without
 declaration has the declaration ''; without labelled texts the result is empty of languages (null lang); repeated rows each get theirs.
@@ -24,10 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, folded, tidy, written
+from .common import Memo, folded, spread, tidy, written
 
 BUCKETS, ALPHA = 1 << 15, 0.1
-MOST_LANGUAGES = 64
 TEMPER = 0.3  # words of a text are not independent: their log-likelihood counts by this share
 SMOOTH = 5.0
 
@@ -44,20 +44,22 @@ def word_buckets(text: str, memo: Memo) -> np.ndarray:
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages (the MOST_LANGUAGES with most texts) and log-probabilities by language and bucket, from all labelled texts."""
-    found = labelled.where(F.col(lang).isNotNull()).groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MOST_LANGUAGES).collect()
-    langs = sorted(r[0] for r in found)
+    """Languages and log-probabilities by language and bucket, from all labelled texts. A label is a code of two or three letters; case and
+    what follows a hyphen do not count; other labels are none."""
+    code = F.lower(F.regexp_extract(F.col(lang).cast("string"), "^([A-Za-z]{2,3})(?:[-_].*)?$", 1))
+    labelled = labelled.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), code.alias("x")).where("x != ''")
+    langs = sorted(r[0] for r in labelled.select("x").distinct().collect())  # codes, some thousands at most
     index = {x: i for i, x in enumerate(langs)}
-    rows = labelled.where(F.col(lang).isin(langs)).select(F.coalesce(F.col(text).cast("string"), F.lit("")), F.col(lang)) if langs else None
+    rows = labelled
     counts = np.full((len(langs), BUCKETS), ALPHA)
 
     def run(batches):
-        memo, got = Memo(bucket), np.zeros((len(index), BUCKETS), np.int64)
+        memo, got = Memo(bucket), np.zeros((len(index), BUCKETS), np.int32)
         for batch in batches:
             for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 got[index[x]] += np.bincount(word_buckets(t, memo), minlength=BUCKETS)
         at = np.flatnonzero(got)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(got.ravel()[at])], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(got.ravel()[at].astype(np.int64))], ["cell", "n"])
 
     if langs:
         got = rows.mapInArrow(tidy(run), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # languages x BUCKETS
@@ -116,16 +118,19 @@ def identify(pages: DataFrame, labelled: DataFrame, key: str = "page_id", url: s
     size = len(langs)
     rows = rows.withColumn("soft", normal(F.col("like")))
 
-    def counts(by: str) -> DataFrame:
-        """Soft counts of languages: an array by value of `by`."""
-        return rows.groupBy("host", "domain", "suffix", "declared").agg(*sums).groupBy(by).agg(*again).select(by, F.array(*[f"s{i}" for i in range(size)]).alias(f"n_{by}"))
-
     sums = [F.sum(F.col("soft")[i]).alias(f"s{i}") for i in range(size)]
     again = [F.sum(f"s{i}").alias(f"s{i}") for i in range(size)]
-    whole = rows.agg(*sums).first()
+    narrow = written(rows.groupBy("host", "domain", "suffix", "declared").agg(*sums, F.count(F.lit(1)).alias("n")), "evidence")
+
+    def counts(by: str) -> DataFrame:
+        """Soft counts of languages and pages: an array by value of `by`."""
+        return written(narrow.groupBy(by).agg(*again, F.sum("n").alias("n")).select(by, F.array(*[f"s{i}" for i in range(size)]).alias(f"n_{by}"), "n"), "counts")
+
+    whole = narrow.agg(*again).first()
     total = sum(x or 0.0 for x in whole)
     share = F.array(*[F.lit(((x or 0.0) + 1.0) / (total + size)) for x in whole])
     mass = F.array(*[F.lit(float(x or 0.0)) for x in whole])
+    others = lambda n: F.zip_with(n, F.col("soft"), lambda x, own: F.greatest(x - own, F.lit(0.0)))
 
     def smoothed(n: Column, prior: Column) -> Column:
         of = F.aggregate(n, F.lit(0.0), lambda s, x: s + x)
@@ -136,14 +141,12 @@ def identify(pages: DataFrame, labelled: DataFrame, key: str = "page_id", url: s
         of = F.aggregate(n, F.lit(0.0), lambda s, x: s + x) / F.lit(max(total, 1.0))
         return F.zip_with(n, mass, lambda x, m: F.log((x + SMOOTH * of + 1e-9) / (m + SMOOTH)))
 
-    suffix = counts("suffix").withColumn("p_suffix", smoothed(F.col("n_suffix"), share)).withColumn("w_suffix", worth(F.col("n_suffix")))
-    of_domain = rows.groupBy("domain").agg(F.min("suffix").alias("suffix"))
-    domain = counts("domain").join(of_domain, "domain").join(suffix.select("suffix", "p_suffix"), "suffix").select("domain", smoothed(F.col("n_domain"), F.col("p_suffix")).alias("p_domain"))
-    of_host = rows.groupBy("host").agg(F.min("domain").alias("domain"))
-    host = counts("host").join(of_host, "host").join(domain, "domain").select("host", smoothed(F.col("n_host"), F.col("p_domain")).alias("p_host"))
-    declared = counts("declared").select("declared", worth(F.col("n_declared")).alias("w_declared"))
-    all_of = rows.join(host, "host").join(suffix.select("suffix", "w_suffix"), "suffix").join(declared, "declared")
-    z = plus(F.col("like"), F.transform("p_host", lambda p: F.log(p)), F.when(F.col("declared") == "", F.array(*[F.lit(0.0)] * size)).otherwise(F.col("w_declared")), F.col("w_suffix"))
+    all_of = rows
+    for by in ("host", "domain", "suffix", "declared"):
+        all_of = spread(all_of, counts(by), by, "n", "__key").drop("n")
+    all_of = all_of.withColumns({f"n_{by}": others(F.col(f"n_{by}")) for by in ("host", "domain", "suffix", "declared")})
+    prior = smoothed(F.col("n_host"), smoothed(F.col("n_domain"), share))
+    z = plus(F.col("like"), F.transform(prior, lambda p: F.log(p)), F.when(F.col("declared") == "", F.array(*[F.lit(0.0)] * size)).otherwise(worth(F.col("n_declared"))), worth(F.col("n_suffix")))
     best = lambda a: F.get(names, (F.array_position(a, F.array_max(a)) - 1).cast("int"))
     flatly = F.array_max("like") == F.array_min("like")
     out = all_of.withColumn("post", normal(z))

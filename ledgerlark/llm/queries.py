@@ -25,7 +25,7 @@ def op1_secrets(spark, sf_dir):
     s = F.col("spans")
     live = F.size(F.filter(s, lambda x: x["verdict"] == "live")).cast("long")
     out = secrets.scan(documents(spark, sf_dir))
-    return out.select("doc_id", *[n_of(s, k).alias(f"n_{k}") for k in secrets.BASE], base_digest(s, secrets.BASE).alias("base_sha256"), secrets.label(s).alias("spans"), live.alias("n_live"), (F.size(s) - live).cast("long").alias("n_copied"))
+    return out.select("doc_id", *[n_of(s, k).alias(f"n_{k}") for k in secrets.BASE], base_digest(s, secrets.BASE).alias("base_sha256"), secrets.label(s).alias("spans"), live.alias("n_live"), (F.size(s) - live).cast("long").alias("n_copied"), secrets.verdicts(s).alias("verdicts"))
 
 
 def op2_sharding(spark, sf_dir):

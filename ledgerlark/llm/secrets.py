@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership frequency. DataFrame functions only.
 
 Expressions find candidates in every text; each candidate's value is hashed, and hashes are aggregated by distinct repositories and
-owners. A value with at most FEW owners and repositories is owner-specific and counts as live; one that more owners share is a copied
-example. Kinds assign, access and hex are the base and stay whatever the verdict; kind owned (long mixed-case tokens) is kept only
+owners. A value with at most FEW owners and FEW_REPOS repositories is owner-specific and counts as live; one that more share is a copied
+example. Where the table names no repository, a document stands for one. Kinds assign, access and hex are the base and stay whatever the verdict; kind owned (long mixed-case tokens) is kept only
 where the corpus says that it is owner-specific.
 
 Scale: candidates leave the scan as narrow rows; (hash, owner, repository) is made distinct by partial aggregation before it is
@@ -26,11 +26,11 @@ LEAD = KEYS + r"""["']?\x20*+[:=]\x20*+["']?"""
 ASSIGN = LEAD + r"[A-Za-z0-9+/_.=-]++"
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
-OWNED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[A-Z0-9+/_-]*+[a-z])(?=[a-z0-9+/_-]*+[A-Z])[A-Za-z0-9+/_-]{32,}+={0,2}+"
+OWNED = r"(?<![A-Za-z0-9+/_-])(?<!" + KEYS + r"""["']?\x20{0,8}[:=]\x20{0,8}["']?)""" + r"(?=[A-Za-z+/_-]*+[0-9])(?=[A-Z0-9+/_-]*+[a-z])(?=[a-z0-9+/_-]*+[A-Z])[A-Za-z0-9+/_-]{32,}+={0,2}+"
 ORDER = ("assign", "access", "hex", "owned")
 BASE = ORDER[:3]
 LEAST_VALUE = 6
-FEW, SALTS = 2, 16
+FEW, FEW_REPOS, SALTS = 2, 8, 16
 
 CANDIDATES = "array<struct<start:int,rank:int,kind:string,end:int,hash:string>>"
 
@@ -61,7 +61,7 @@ def ownership(hits: DataFrame) -> DataFrame:
     return triples.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos")).groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "source", few: int = FEW) -> DataFrame:
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id", few: int = FEW, few_repos: int = FEW_REPOS) -> DataFrame:
     """One row per input row: key, spans (array of start, kind, end, verdict, n_owners, n_repos; by start, then kind as listed)."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = df.select(F.col(key), F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo"), t.alias("t"))
@@ -70,13 +70,18 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "s
     hits = rows.where(F.size("found") > 0).select("row", "owner", "repo", F.explode("found").alias("c")).select("row", "owner", "repo", "c.*")
     counts = ownership(hits).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     known = hits.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(counts, ["hash", "salt"])
-    known = known.withColumn("verdict", F.when((F.col("n_owners") <= few) & (F.col("n_repos") <= few), "live").otherwise("copied"))
+    known = known.withColumn("verdict", F.when((F.col("n_owners") <= few) & (F.col("n_repos") <= few_repos), "live").otherwise("copied"))
     known = known.where((F.col("kind") != "owned") | (F.col("verdict") == "live"))
     by_row = known.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end", "verdict", "n_owners", "n_repos"))).alias("spans"))
     none = F.array().cast(by_row.schema["spans"].dataType)
     return rows.join(by_row, "row", "left").select(key, F.coalesce("spans", none).alias("spans"))
 
 
+def verdicts(spans: Column) -> Column:
+    """kind:start:end:verdict:owners:repositories, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"), s["verdict"], s["n_owners"].cast("string"), s["n_repos"].cast("string"))), ",")
+
+
 def label(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

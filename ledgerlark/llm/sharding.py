@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -101,19 +102,28 @@ class SlotMap:
         """A stored version, the latest by default."""
         df = spark.read.parquet(path)
         version = df.agg(F.max("version")).first()[0] if version is None else version
-        rows = df.where(F.col("version") == version).collect()
+        rows = df.where(F.col("version") == version).collect()  # `slots` rows
+        if not rows:
+            raise ValueError(f"{path} has no version {version}")
         return cls(1 + max(r.shard for r in rows), {r.virtual_slot: r.shard for r in rows}, version, {r.virtual_slot: (r.bytes, r.rows) for r in rows})
 
 
-def assign(df: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
-    """All records with shard and place: key, size, text_crc32, virtual_slot, shard, slot (gapless from 0 in each shard). The map is
-    stored under map_path. Places are counted inside each virtual slot and moved by the rows of the slots before it, so no task holds
+def assign(df: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", slots: int = SLOTS, map_path: str | None = None, version: int | None = None) -> DataFrame:
+    """All records with shard and place: key, size, text_crc32, virtual_slot, shard, slot (gapless from 0 in each shard). A map stored
+    under map_path decides (its `version`, the latest by default), and `shards` does not count then; where there is none, one is fitted
+    to the slots' bytes and stored there as version 1. Places are counted inside each virtual slot and moved by the rows of the slots before it, so no task holds
     a shard."""
     spark = df.sparkSession
     rows = written(keyed(df, key, text, slots), "slots")
     load = {r.virtual_slot: (r.bytes, r.rows) for r in slot_load(rows).collect()}  # at most `slots` rows
-    path = SlotMap.fit(load, shards, slots).store(spark, map_path or scratch_path(spark, "slot-map"))
-    owner = spark.read.parquet(path).where("version = 1").select("virtual_slot", "shard", "first_place")
+    path = map_path or scratch_path(spark, "slot-map")
+    try:
+        held = SlotMap.stored(spark, path, version)
+        held = SlotMap(held.shards, held.owner, held.version, load)
+    except AnalysisException:
+        held = SlotMap.fit(load, shards, slots)
+        held.store(spark, path)
+    owner = held.table(spark).select("virtual_slot", "shard", "first_place")
     inside = Window.partitionBy("virtual_slot").orderBy(F.col(key).asc_nulls_first(), "text_crc32", "size")
     return (
         rows.withColumn("__at", F.row_number().over(inside))

@@ -47,6 +47,9 @@ def test_secret_ownership(spark):
     rows = [(i, "token=copiedexample", f"o{i}") for i in range(5)] + [(9, "token=mineonly99", "o1"), (10, "Zx81" * 10, "o1")]
     got = {r.doc_id: [(s.kind, s.verdict) for s in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got[0] == [("assign", "copied")] and got[9] == [("assign", "live")] and got[10] == [("owned", "live")]
+    rows = [(i, "token=onesource1", "o1") for i in range(20)] + [(30, "AWS_KEY=" + "Qx71" * 10 + " token=" + "Rx71" * 10, "o2")]
+    got = {r.doc_id: [(s.kind, s.verdict, s.n_owners, s.n_repos) for s in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[3] == [("assign", "copied", 1, 20)] and got[30] == [("owned", "live", 1, 1), ("assign", "live", 1, 1)]
 
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -84,6 +87,11 @@ def test_sharding(spark, odd, empty, tmp_path):
     assert new.version == 2 and {new.owner[s] for s in moved} == {8} and len(moved) < 0.2 * len(old.owner)
     new.store(spark, str(tmp_path / "map"))
     assert sharding.SlotMap.stored(spark, str(tmp_path / "map")).owner == new.owner
+    again = sharding.assign(d, 8, map_path=str(tmp_path / "map")).toPandas().set_index("doc_id")  # the stored version decides
+    assert again.shard.to_dict() == {r.doc_id: new.owner[r.virtual_slot] for r in got.itertuples()} and set(again.shard) == set(range(9))
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in again.groupby("shard"))
+    first = sharding.assign(d, map_path=str(tmp_path / "map"), version=1).toPandas().set_index("doc_id")
+    assert first.shard.to_dict() == got.set_index("doc_id").shard.to_dict()
     assert sorted(sharding.assign(odd, 8).toPandas()["size"])[:2] == [1, 1] and sharding.assign(empty, 8).count() == 0
 
 
@@ -324,6 +332,20 @@ def test_langid(spark, odd, empty):
     assert langid.identify(pages, labelled.limit(0)).count() == 5 and langid.identify(pages.limit(0), labelled).count() == 0
 
 
+def test_langid_many_and_own_text(spark):
+    """A dozen languages; and a page whose text says another language than its host's other pages do."""
+    codes = [a + b for a in "abc" for b in "klmn"]
+    labelled = spark.createDataFrame([(f"{x}one {x}two {x}three", x.upper() + "-x") for x in codes] + [("?", "not a code")], "text string, lang string")
+    pages = spark.createDataFrame([(i, f"http://h{i}.org/", f"<p>{x}two {x}three {x}one") for i, x in enumerate(codes)], "page_id long, url string, html string")
+    assert {r.page_id: r.lang for r in langid.identify(pages, labelled).collect()} == dict(enumerate(codes))
+    two = labelled.where("lang in ('AK-x', 'BL-x')")
+    rows = [(i, f"http://one.org/{i}", "<p>akone aktwo akthree") for i in range(30)] + [(99, "http://one.org/99", "<p>unknown")]
+    got = {r.page_id: r for r in langid.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), two).collect()}
+    assert got[99].lang == "ak" and got[99].text_lang is None and got[0].lang == "ak"
+    alone = langid.identify(spark.createDataFrame([(1, "http://solo.net/", "<html lang=bl><p>akone")], "page_id long, url string, html string"), two).first()
+    assert alone.lang == "ak"  # its own text is the only evidence, and is not counted twice by its host, suffix or declaration
+
+
 def test_bpe(spark, odd, empty):
     import tiktoken
 
