@@ -5,21 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import clean_text, folded, let
+
+
+# An amount is followed by a currency word, or is the low end of a range that is; words for free entry.
+AMOUNT = r"(?i)([0-9]+(?:[.,][0-9]+)?)(?=\s*(?:€|euros?\b|eur\b)|\s*(?:à|-|–|/)\s*[0-9]+(?:[.,][0-9]+)?\s*(?:€|euros?\b|eur\b))"
+FREE = r"\b(?:gratuit|free|entree libre|prix libre)\b"
+
 
 def price_range(text: Column) -> Column:
-    """'lo–hi €' or 'n €' of the amounts before a currency word, 'paid' for other text with digits, else null."""
-    amounts = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"([0-9]+(?:[.,][0-9]{1,2})?)\s*(?:€|eur|euros?)"), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double")), lambda n: (n > 0) & (n < 1000))
+    """'lo–hi €' or 'n €' of the amounts over 0 and under 1000, 'paid' for other text that says so, else null."""
+    amounts = F.filter(F.transform(F.regexp_extract_all(text, F.lit(AMOUNT), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double")), lambda n: (n > 0) & (n < 1000))
     show = lambda n: F.regexp_replace(F.format_string("%.2f", n), r"\.00$", "")
-    lo, hi = F.array_min(amounts), F.array_max(amounts)
-    return F.when(lo == hi, F.concat(show(lo), F.lit(" €"))).when(lo < hi, F.concat(show(lo), F.lit("–"), show(hi), F.lit(" €"))).when(text.rlike("[0-9]"), "paid")
+
+    def shown(a):
+        lo, hi = F.array_min(a), F.array_max(a)
+        return F.when(lo == hi, F.concat(show(lo), F.lit(" €"))).when(lo < hi, F.concat(show(lo), F.lit("–"), show(hi), F.lit(" €"))).when(text.rlike("(?i)payant"), "paid")
+
+    return let(amounts, shown)
 
 
 def is_free(text: Column) -> Column:
-    return F.lower(text).rlike(r"\b(?:gratuit|free|entree libre|prix libre)\b")
+    return F.coalesce(folded(clean_text(text)).rlike(FREE), F.lit(False))
+
+
+def price_text(text: Column) -> Column:
+    """At most 60 characters of the price's text; null without any."""
+    return F.nullif(F.substring(clean_text(text), 1, 60), F.lit(""))
 
 
 def plausible(count: Column, before: Column) -> Column:
-    return F.when(count == 0, False).when(before.isNull(), True).when(count < F.greatest(F.lit(1.0), 0.3 * before), False).otherwise(count <= 4 * before + 20)
+    """False for no rows, and for far fewer or more than the last success had; true where that is unknown or was none."""
+    known = F.coalesce(before, F.lit(0)) > 0
+    return F.when(F.coalesce(count, F.lit(0)) == 0, False).when(~known, True).when(count < F.greatest(F.lit(1.0), 0.3 * before), False).otherwise(count <= 4 * before + 20)
 
 
 def km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -1,10 +1,13 @@
-"""Ordered rules with provenance; labels with aliases."""
+"""Ordered rules with provenance; labels with aliases; what an enrichment may change."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.genre_words import MUSIC_HINT, NON_MUSIC, SITE_RULES, TEXT_RULES
+from ..functions.text import folded, let
+
 
 def by_rules(text: Column, rules: list[tuple[str, str]], most: int = 3) -> Column:
     """Tags of the rules that match, in rule order, distinct, at most `most`."""
@@ -27,5 +30,66 @@ def labels(text: Column, aliases: dict[str, str], drop: list[str], most: int = 4
     table = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
     parts = F.transform(F.split(F.lower(text), r"\s*[,/;]\s*"), lambda p: F.coalesce(F.try_element_at(table, F.trim(p)), F.try_element_at(table, F.replace(F.trim(p), F.lit(" "), F.lit(""))), F.trim(p)))
     kept = F.filter(parts, lambda p: (F.length(p) > 1) & (F.length(p) <= longest) & ~p.isin(drop))
-    seen = F.transform(kept, lambda p: F.regexp_replace(p, r"[^a-z0-9]", ""))
-    return F.slice(F.filter(kept, lambda p, i: F.array_position(seen, F.get(seen, i)) == i + 1), 1, most)
+    return F.slice(squashed(kept), 1, most)
+
+
+def squashed(parts: Column) -> Column:
+    """Labels, the first of those that differ only in what is no letter or digit."""
+
+    def first_ones(both):
+        return F.transform(F.filter(both, lambda x, i: F.array_position(both["key"], x["key"]) == i + 1), lambda x: x["label"])
+
+    return let(F.transform(parts, lambda p: F.struct(p.alias("label"), F.regexp_replace(folded(p), r"[^a-z0-9]", "").alias("key"))), first_ones)
+
+
+def merged_labels(*lists: Column, most: int = 4) -> Column:
+    """Labels of several lists, earlier lists first; null lists count as empty."""
+    none = F.array().cast("array<string>")
+    return F.slice(squashed(F.concat(*[F.coalesce(x, none) for x in lists])), 1, most)
+
+
+def plain(c: Column) -> Column:
+    """What rules look at: lower case, no accents, straight apostrophes and hyphens; null counts as empty."""
+    return F.regexp_replace(F.replace(folded(F.coalesce(c, F.lit(""))), F.lit("’"), F.lit("'")), "[‐‑–—]", "-")
+
+
+def genres(existing: Column, source_label: Column, title: Column, description: Column, venue_default: Column) -> Column:
+    """struct(tags, source): what the event has, else by the source's label, else by title, else by description (two at most), else the
+    venue's own; null where none has a tag."""
+    by_title = by_rules(plain(title), TEXT_RULES)
+    by_text = F.when(F.size(by_title) > 0, by_title).otherwise(by_rules(plain(description), TEXT_RULES, 2))
+    return cascade(("site", existing), ("site", by_rules(plain(source_label), SITE_RULES)), ("rules", by_text), ("venue", venue_default))
+
+
+def is_concert(flag: Column, text: Column, venue: Column) -> Column:
+    """A true flag falls for texts that name another kind of date and nothing of music, the venue's own name left out."""
+    name = plain(venue)
+    rest = F.when(name == "", plain(text)).otherwise(F.replace(plain(text), name, F.lit(" ")))
+    return vetoed(flag, rest, NON_MUSIC, MUSIC_HINT)
+
+
+WEAK = ("", "rules", "venue")
+
+
+def enriched(genres: Column, source: Column, is_music: Column, subgenres: Column, found_genres: Column, found_music: Column, found_subgenres: Column, by: str = "llm") -> Column:
+    """struct(genres, genre_source, is_music, subgenres) after an enrichment: its genres replace weak ones only, it takes the music flag
+    away only there, and its sub-genres come after the event's own. Nulls found change nothing."""
+    weak = F.coalesce(source, F.lit("")).isin(*WEAK)
+    take = weak & (F.size(F.coalesce(found_genres, F.array().cast("array<string>"))) > 0)
+    return F.struct(
+        F.when(take, found_genres).otherwise(genres).alias("genres"),
+        F.when(take, F.lit(by)).otherwise(source).alias("genre_source"),
+        (is_music & ~(weak & ~F.coalesce(found_music, F.lit(True)))).alias("is_music"),
+        merged_labels(subgenres, found_subgenres).alias("subgenres"),
+    )
+
+
+def needs_tags(is_music: Column, source: Column, subgenres: Column, strong=("site", "llm")) -> Column:
+    """Concerts whose genres are weak or that have no sub-genre."""
+    return is_music & (~F.coalesce(source, F.lit("")).isin(*strong) | (F.coalesce(F.size(subgenres), F.lit(0)) <= 0))
+
+
+def tag_noise(tags: Column, title: Column, venue: Column, noise: list[str]) -> Column:
+    """Distinct tags without noise words, the venue's name and what the title says already."""
+    low = folded(title)
+    return F.array_distinct(F.filter(tags, lambda t: ~folded(t).isin(noise) & (folded(t) != folded(venue)) & ~F.contains(low, folded(t))))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import km
+from ..functions.text import venue_key
 from .search import first_by
 
-MOST_VENUES = 10_000
-CELL = 0.01  # degrees; no less than the radius is wide
+DEGREE = 111.0  # km that a degree of latitude has at least
 
 
 def by_name(events: DataFrame, venues: DataFrame, key: str = "key", venue_key: str = "venue_key", order: str = "ord", take=("venue",)) -> DataFrame:
@@ -23,11 +23,37 @@ def by_name(events: DataFrame, venues: DataFrame, key: str = "key", venue_key: s
 
 
 def by_place(events: DataFrame, venues: DataFrame, radius_km: float, keys=("id",), order: str = "ord", take=("venue",)) -> DataFrame:
-    """First venue within radius_km, in file order and not by distance. Places meet by grid cell, nine cells a venue."""
-    cell = lambda c: F.floor(F.col(c) / CELL)
+    """First venue within radius_km, in file order and not by distance; venues with geo_match false, where there is such a column, have
+    none. Places meet by grid cell, nine cells a venue: bands of latitude as wide as the radius, and in each band cells as wide in
+    longitude as the radius is there. Pairs across the 180th meridian do not meet."""
+    cell = radius_km / DEGREE
+    band = lambda c: F.floor(c / F.lit(cell))
+    width = lambda b: F.lit(cell) / F.cos(F.radians(F.least((F.abs(b) + 2) * F.lit(cell), F.lit(89.9))))
     step = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    if "geo_match" in venues.columns:
+        venues = venues.where(F.coalesce("geo_match", F.lit(True)))
     v = venues.select(F.col("lat").alias("vlat"), F.col("lon").alias("vlon"), order, *take).withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step))
-    v = v.withColumn("cx", F.floor(F.col("vlat") / CELL) + F.col("dx")).withColumn("cy", F.floor(F.col("vlon") / CELL) + F.col("dy"))
-    e = events.select(*keys, "lat", "lon").withColumn("cx", cell("lat")).withColumn("cy", cell("lon"))
+    v = v.withColumn("cx", band(F.col("vlat")) + F.col("dx")).withColumn("cy", F.floor(F.col("vlon") / width(F.col("cx"))) + F.col("dy"))
+    e = events.select(*keys, "lat", "lon").withColumn("cx", band(F.col("lat"))).withColumn("cy", F.floor(F.col("lon") / width(F.col("cx"))))
     near = e.join(v, ["cx", "cy"]).where(km(F.col("lat"), F.col("lon"), F.col("vlat"), F.col("vlon")) <= radius_km)
     return first_by(near, list(keys), [F.col(order)], list(take))
+
+
+def canonical(events: DataFrame, venues: DataFrame, radius_km: float, key: str = "id") -> DataFrame:
+    """events: key, source, venue, venue_slug, lat, lon; venues: name, slug, ord, lat, lon, geo_match. Open-data events take name and slug of
+    the first configured venue of that name, else of the first one near; all other events and columns stay as they are."""
+    v = venues.select("ord", "lat", "lon", "geo_match", F.struct("name", "slug").alias("to"), venue_key(F.col("name")).alias("venue_key"))
+    open_ = events.where(F.col("source") == "opendata").withColumn("key", venue_key(F.col("venue")))
+    named = by_name(open_, v, take=("to",)).withColumnRenamed("to", "by_name")
+    near = by_place(open_, v, radius_km, (key,), take=("to",)).withColumnRenamed("to", "by_place")
+    matched = open_.select(key, "key").join(named, "key", "left").join(near, key, "left").select(key, F.coalesce("by_name", "by_place").alias("__to"))
+    out = events.join(matched.where("__to is not null"), key, "left")
+    return out.withColumns({"venue": F.coalesce("__to.name", "venue"), "venue_slug": F.coalesce("__to.slug", "venue_slug")}).drop("__to")
+
+
+def with_venue(events: DataFrame, venues: DataFrame, own: str = "own_slug", slug: str = "venue_slug") -> DataFrame:
+    """Each event beside its venue's row, or beside the row of the source that listed it where the venue is not configured."""
+    cols = [c for c in venues.columns if c != "slug"]
+    both = lambda at, name: venues.select(F.col("slug").alias(at), F.struct(*cols).alias(name))
+    j = events.join(both(slug, "__a"), slug, "left").join(both(own, "__b"), own, "left")
+    return j.select(*events.columns, F.coalesce("__a", "__b").alias("venue_row"))

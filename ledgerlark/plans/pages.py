@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators.chunks import chunks
 from ..sources import tables
 from ..sources.tables import table
 from .registry import query
@@ -41,23 +42,7 @@ def json_answer(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object(body, "$.k").cast("long").alias("k"))
 
 
-def chunk(column, size: int):
-    """Lines in chunks: one closes when the next line would overflow it, or once it is half full at a line whose hash says so."""
-    empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("done"), F.lit("").alias("open"))
-
-    def step(acc, line):
-        full = (F.length(acc["open"]) > 0) & (F.length(acc["open"]) + F.length(line) + 1 > size)
-        cut = (F.length(acc["open"]) >= size // 2) & (F.conv(F.substring(F.sha1(line), 1, 1), 16, 10) == "0")
-        return F.struct(
-            F.when(full | cut, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
-            F.when(full | cut | (F.length(acc["open"]) == 0), line).otherwise(F.concat(acc["open"], F.lit("\n"), line)).alias("open"),
-        )
-
-    return F.aggregate(F.split(column, "\n"), start, step, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
-
-
 @query()
 def chunk_text(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", chunk(F.col("text"), 3000).alias("c"))
+    docs = table(spark, d, "documents").select("doc_id", "text", chunks(F.col("text"), 3000).alias("c"))
     return docs.select("doc_id", F.size("c").alias("n_chunks"), (F.array_join("c", "\n") == F.col("text")).alias("round_trip"))

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import let
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -35,13 +37,17 @@ def snapshot(df: DataFrame, root: str, name: str) -> str:
 def blocks(html: Column, start: str, longest: int = 20_000) -> Column:
     """The page cut at each match of start; what stands before the first is dropped, the last block has `longest` characters at most."""
     cut = F.split(F.regexp_replace(html, f"({start})", "\u0001$1"), "\u0001")
-    n = F.size(cut)
-    return F.filter(F.transform(cut, lambda b, i: F.when(i == n - 1, F.substring(b, 1, longest)).otherwise(b)), lambda b: b.rlike(f"^(?:{start})"))
+
+    def trimmed(both):
+        rows = F.transform(both["cut"], lambda b, i: F.when(i == both["n"] - 1, F.substring(b, 1, longest)).otherwise(b))
+        return F.slice(rows, F.lit(2), F.greatest(both["n"] - 1, F.lit(0)))
+
+    return let(let(cut, lambda c: F.struct(c.alias("cut"), F.size(c).alias("n"))), trimmed)
 
 
 def first(text: Column, pattern: str, group: int = 1) -> Column:
     """The first capture, null where nothing matches."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0))
 
 
 def wrapper(pages: DataFrame, html: str, start: str, spec: dict[str, str], keep: list[str]) -> DataFrame:
