@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.genre_words import MUSIC_HINT, NON_MUSIC, SITE_RULES, TEXT_RULES
-from ..functions.text import folded, let
+from ..functions.genre_words import COARSE, FORMAT, MUSIC_HINT, NON_MUSIC, SITE_RULES, SPELLINGS, STYLE, TEXT_RULES
+from ..functions.text import folded, let, squeeze
 
 
 def by_rules(text: Column, rules: list[tuple[str, str]], most: int = 3) -> Column:
@@ -93,3 +93,42 @@ def tag_noise(tags: Column, title: Column, venue: Column, noise: list[str]) -> C
     """Distinct tags without noise words, the venue's name and what the title says already."""
     low = folded(title)
     return F.array_distinct(F.filter(tags, lambda t: ~folded(t).isin(noise) & (folded(t) != folded(venue)) & ~F.contains(low, folded(t))))
+
+
+# Fixed value: what separates labels.
+BETWEEN = r"(?iU)\s*(?:,|/|;|\||•|\+|\bet\b|\band\b(?! (?:bass|roll)))\s*"
+
+
+def label_key(c: Column) -> Column:
+    return F.trim(F.regexp_replace(plain(c), r"[^a-z0-9&']+", " "))
+
+
+def light(c: Column) -> Column:
+    """Without what stands in brackets, hashes and marks at the edges."""
+    return squeeze(F.regexp_replace(F.replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\(.*?\)", " "), F.lit("#"), F.lit(" ")), r"^[ .\-–—:*]+|[ .\-–—:*]+$", ""))
+
+
+def canonical_labels(labels: Column, most: int = 4, longest: int = 32) -> Column:
+    """Sub-genres in one spelling: coarse, short, long and format labels out, one of those that differ in blanks and hyphens only."""
+    spell = F.create_map(*[F.lit(x) for kv in SPELLINGS.items() for x in kv])
+    tight = lambda k: F.replace(F.replace(k, F.lit(" "), F.lit("")), F.lit("-"), F.lit(""))
+    coarse = F.array(*map(F.lit, sorted({w for c in COARSE for w in (c, c.replace(" ", ""))} | {w.replace("-", " ").replace("/", " ") for w in COARSE})))
+
+    def spelt(x):
+        clean = light(x)
+        key = F.regexp_replace(label_key(clean), r"\s+et assimiles$", "")
+        return F.coalesce(F.try_element_at(spell, key), F.try_element_at(spell, F.replace(key, F.lit(" "), F.lit(""))), F.lower(clean))
+
+    def good(x):
+        key = label_key(x)
+        return (F.length(key) >= 3) & (F.length(x) <= longest) & ~F.array_contains(coarse, key) & ~F.array_contains(coarse, F.replace(key, F.lit(" "), F.lit(""))) & ~key.rlike(FORMAT)
+
+    kept = F.filter(F.transform(F.filter(labels, lambda x: x.isNotNull()), spelt), good)
+    both = F.transform(kept, lambda x: F.struct(x.alias("label"), tight(label_key(x)).alias("key")))
+    return F.slice(let(both, lambda b: F.transform(F.filter(b, lambda x, i: F.array_position(b["key"], x["key"]) == i + 1), lambda x: x["label"])), 1, most)
+
+
+def sub_genres(source_label: Column) -> Column:
+    """Sub-genres that a source's own label names: its parts that look like a style, in one spelling."""
+    parts = F.filter(F.split(light(source_label), BETWEEN), lambda p: (p != "") & plain(p).rlike(STYLE))
+    return canonical_labels(parts)
