@@ -26,7 +26,8 @@ LEAD = KEYS + r"""["']?\x20*+[:=]\x20*+["']?"""
 ASSIGN = LEAD + r"[A-Za-z0-9+/_.=-]++"
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
-OWNED = r"(?<![A-Za-z0-9+/_-])(?<!" + KEYS + r"""["']?\x20{0,8}[:=]\x20{0,8}["']?)""" + r"(?=[A-Za-z+/_-]*+[0-9])(?=[A-Z0-9+/_-]*+[a-z])(?=[a-z0-9+/_-]*+[A-Z])[A-Za-z0-9+/_-]{32,}+={0,2}+"
+# not after a key and its colon, whose value is an assign span; looked for only where all else fits
+OWNED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[A-Z0-9+/_-]*+[a-z])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Za-z0-9+/_-]{32})(?<!" + KEYS + r"""["']?\x20{0,8}[:=]\x20{0,8}["']?)[A-Za-z0-9+/_-]{32,}+={0,2}+"""
 ORDER = ("assign", "access", "hex", "owned")
 BASE = ORDER[:3]
 LEAST_VALUE = 6
