@@ -109,6 +109,19 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.score(empty, none).count() == 0 and toxicity.score(odd, none).count() == N_ODD
 
 
+def test_toxicity_pair(spark):
+    """Two of four pairings of two insults with two groups are toxic, crosswise, so every word stands in as many toxic as clean texts: no
+    sum of weights tells them apart (three of four right at best), interactions do."""
+    rng = random.Random(24)
+    kinds = [" zorg vron", " blim quux", " zorg quux", " blim vron"]
+    texts = [words(rng, 20, 200) + k for _ in range(600) for k in kinds]
+    labels = spark.createDataFrame([(i, int(i % 4 > 1)) for i in range(2000)], "doc_id long, toxic int")
+    model = toxicity.learn(docs(spark, texts), labels)
+    got = toxicity.score(docs(spark, texts), model).toPandas()
+    held = got[got.doc_id >= 2000]
+    assert ((held.score >= 0.5) == (held.doc_id % 4 > 1)).mean() >= 0.9
+
+
 def brute_lm(train, texts, m):
     """log10 probabilities by dicts, one token at a time, given the class weights; and for some histories the sum over all slots."""
     import xxhash
