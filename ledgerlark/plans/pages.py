@@ -18,9 +18,9 @@ def shared_value_anti(spark, d):
     return h.join(h.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where("n > 3"), "host", "left_anti").select("page_id", "host")
 
 
-@query("""SELECT page_id, trim(regexp_replace(replace(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages""")
+@query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM pages""")
 def clean_text_pages(spark, d):
-    return table(spark, d, "pages").select("page_id", text.clean_text(F.regexp_extract("html", "<h1>(.*?)</h1>", 1)).alias("title"))
+    return table(spark, d, "pages").select("page_id", text.clean_text(F.col("html")).alias("text"))
 
 
 @query("""WITH a AS (SELECT page_id, regexp_extract_all(html, '<li>[^<]*<a href="[^"]*">([^<]*)</a>', 1) AS names, regexp_extract_all(html, '<li>[^<]*<a href="([^"]*)">', 1) AS links FROM pages)
@@ -29,7 +29,16 @@ def html_wrapper(spark, d):
     return tables.wrapper(table(spark, d, "pages"), "html", "<li>", {"link": '<a href="([^"]*)">', "name": '<a href="[^"]*">([^<]*)</a>'}, ["page_id"]).select("page_id", "pos", "link", "name")
 
 
-@query()
+HIDDEN_SQL = "html"
+for _tag in ("head", "script", "style", "noscript", "svg"):
+    HIDDEN_SQL = f"regexp_replace({HIDDEN_SQL}, '<{_tag}[^>]*>.*?</{_tag}>', ' ', 'gsi')"
+FLAT_SQL = f"regexp_replace(regexp_replace(regexp_replace({HIDDEN_SQL}, '<!--.*?-->', ' ', 'gs'), '</(?:p|div|li|h[1-6]|tr|article|section|header|footer|br|span|a|td|th)>|<br\\s*/?>', chr(10), 'gi'), '<[^>]+>', ' ', 'g')"
+FLAT_SQL = f"replace(replace(replace(replace({FLAT_SQL}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(f"""WITH f AS (SELECT page_id, list_transform(string_split({FLAT_SQL}, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) AS lines FROM pages),
+k AS (SELECT page_id, list_filter(lines, lambda x, i: x <> '' AND (i = 1 OR x <> lines[i - 1])) AS kept FROM f)
+SELECT page_id, CAST(len(kept) AS INTEGER) AS n_lines, sha1(array_to_string(kept, chr(10))) AS digest FROM k""")
 def page_text(spark, d):
     lines = text.page_lines(F.col("html"))
     return table(spark, d, "pages").select("page_id", lines.alias("l")).select("page_id", F.size("l").alias("n_lines"), F.sha1(F.array_join("l", "\n")).alias("digest"))

@@ -1,4 +1,4 @@
-"""First-seen dates as a stream."""
+"""First-seen dates and windows as streams."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def first_seen(stream: DataFrame, key: str, ts: str, late: str = "1 day") -> DataFrame:
-    """The first time of each key, kept as state behind a watermark; update mode emits a key when its first time changes."""
-    return stream.withWatermark(ts, late).groupBy(key).agg(F.min(ts).alias("first_ts"), F.count(F.lit(1)).alias("n"))
+    """Each key's first row, as (key, first_ts). The state holds a key until the watermark is `late` past its first time, so it is bounded by
+    the keys of that span; a key that comes again later is new again. A date that must last belongs to the batch state."""
+    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key]).select(key, F.col(ts).alias("first_ts"))
 
 
 def windows(stream: DataFrame, ts: str, every: str, by: list[str], late: str = "1 day") -> DataFrame:
