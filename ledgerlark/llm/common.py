@@ -108,6 +108,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def free(results, taken) -> list[str]:
+    """Names of results: as they are, with underscores behind them where a kept column has that name, which stays."""
+    out = []
+    for name in results:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 BLOCK = 64
 
 

@@ -22,4 +22,12 @@ have AS (SELECT DISTINCT doc_id, k, array_to_string(words[p:p + k - 1], ' ') AS
 n AS (SELECT item_id, count(*) AS n FROM want GROUP BY 1)
 SELECT item_id, doc_id, count(*) * 1.0 / any_value(n.n) AS containment FROM want JOIN have USING (k, g) JOIN n USING (item_id) GROUP BY 1, 2 HAVING count(*) * 1.0 / any_value(n.n) >= 0.8"""
 
-ORACLES: dict[str, str] = {"op5_decontam": OP5, "op7_quality": OP7}
+OP12 = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || doc_id) AS h FROM documents),
+u AS (SELECT *, len(w) AS n, [CAST('0x' || substr(h, 8 * k - 7, 8) AS BIGINT) FOR k IN [1, 2, 3, 4]] AS r FROM d),
+c AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 90 THEN 'plain' WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+s AS (SELECT *, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM s"""
+
+ORACLES: dict[str, str] = {"op5_decontam": OP5, "op7_quality": OP7, "op12_fim": OP12}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, lm, neardup, pii, quality, secrets, sharding, toxicity
+from . import bpe, decontam, fim, langid, lm, neardup, pii, quality, secrets, sharding, simhash, toxicity, whitening
 from .common import crc_of_id, documents
 
 
@@ -77,10 +77,26 @@ def op10_bpe(spark, sf_dir):
     return bpe.encode(documents(spark, sf_dir), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, keep=["doc_id"], outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op11_whitening(spark, sf_dir):
+    out = whitening.transform(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_fim(spark, sf_dir):
+    out = fim.transform(documents(spark, sf_dir))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    back = fim.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+def op13_simhash(spark, sf_dir):
+    return simhash.classes(documents(spark, sf_dir)).select("doc_id", simhash.digits(F.col("fp")).alias("fingerprint"), F.col("class_id").alias("component_id"), "n_copies")
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_sharding, op3_toxicity, op4_lm, op5_decontam, op6_neardup, op7_quality, op8_pii, op9_langid, op10_bpe, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_sharding, op3_toxicity, op4_lm, op5_decontam, op6_neardup, op7_quality, op8_pii, op9_langid, op10_bpe, op11_whitening, op12_fim, op13_simhash, pipeline)}
