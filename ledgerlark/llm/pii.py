@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPAN, find_spans, let
+from .common import SPAN, find_spans, free, let, written
 
 # The kinds' expressions.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -106,38 +106,41 @@ def detect(df: DataFrame, text: str = "text", out: str = "pii", kinds=tuple(KIND
     """Add `out`, an array of (kind, start, end, score), by kind as listed, then start; code points, end exclusive. The text of each
     span is substring(text, start + 1, end - start). A column named `out` is replaced."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    base = df.withColumn("__t", t)
-    find = finders(F.col("__t"))
-    base = base.withColumns({f"__{k}": find_spans(F.col("__t"), find[k][1], find[k][0]) for k in kinds})
-    parts = [scored(F.col("__t"), F.col(f"__{k}"), k) for k in kinds]
-    return base.withColumn(out, F.concat(*parts)).drop("__t", *[f"__{k}" for k in kinds])
+    of, found = free(["__t"], df.columns)[0], free([f"__{k}" for k in kinds], df.columns)
+    base = df.withColumn(of, t)
+    find = finders(F.col(of))
+    base = base.withColumns({c: find_spans(F.col(of), find[k][1], find[k][0]) for k, c in zip(kinds, found, strict=True)})
+    parts = [scored(F.col(of), F.col(c), k) for k, c in zip(kinds, found, strict=True)]
+    return base.withColumn(out, F.concat(*parts)).drop(of, *found)
 
 
-def masker(kind: str):
-    """For (m: matches, g: gaps around them): the text with valid matches masked."""
-    own, words = KINDS[kind]
-    word = rf"(?i)(?<![a-z])(?:{words})"
-
-    def swap(x):
-        def one(m, i):
-            ok = valid(kind, m)
-            if kind not in BASE and own < LEAST:
-                ok &= F.substring(x["g"][i], -NEAR, NEAR).rlike(word) | F.substring(x["g"][i + 1], 1, NEAR).rlike(word)
-            return F.when(ok, F.lit(f"<{kind.upper()}>")).otherwise(m)
+def cut(text: Column, spans: Column) -> Column:
+    """The text with each span replaced by its kind in angle brackets; of spans that overlap all go, and the first by start (of equals the
+    longest) gives the kind."""
+    ranked = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    none = F.struct(F.array().cast("array<string>").alias("done"), F.lit(0).alias("at"))
 
-        return F.array_join(F.zip_with(x["g"], F.concat(F.transform(x["m"], one), F.array(F.lit(""))), lambda g, m: F.concat(g, m)), "")
+    def step(acc, s):
+        piece = F.array(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+        return F.struct(F.when(s["start"] >= acc["at"], F.concat(acc["done"], piece)).otherwise(acc["done"]).alias("done"), F.greatest(acc["at"], -s["back"]).alias("at"))
 
-    return swap
+    return F.aggregate(ranked, none, step, lambda acc: F.array_join(F.concat(acc["done"], F.array(F.substr(text, acc["at"] + 1))), ""))
 
 
 def redact(df: DataFrame, text: str = "text", kinds=tuple(KINDS)) -> DataFrame:
-    """Replace each span by its kind in angle brackets, kind after kind; linear in the text. A kind's spans are those found once the
-    kinds before it are masked. A null text stays null."""
-    for k in kinds:
-        gate, pattern = finders(F.col(text))[k]
-        both = F.struct(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("m"), F.split(F.col(text), pattern, -1).alias("g"))
-        df = df.withColumn(text, F.when(gate & F.col(text).rlike(pattern), let(both, masker(k))).otherwise(F.col(text)))
-    return df
+    """Cut out what detect finds, again and again until it finds nothing: a span that is gone may leave one that it had spoilt (a card beside
+    another number in one run of digits). Only rows with spans go through a round, as a scratch table, and leave with the first that
+    finds none in them, so rows without spans are neither written nor read again. A null text stays null."""
+    found = free(["__found"], df.columns)[0]
+    some = F.size(found) > 0
+    looked = detect(df, text, found, kinds)
+    done = looked.where(~some)
+    while True:
+        table = written(looked.where(some).withColumn(text, cut(F.col(text), F.col(found))).drop(found), "redacted")
+        if table.isEmpty():
+            return done.drop(found)
+        looked = detect(table, text, found, kinds)
+        done = done.unionByName(looked.where(~some))
 
 
 __all__ = ["SPAN", "detect", "redact", "luhn", "mod97"]

@@ -12,11 +12,10 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, written
+from .common import free, scratch_path, written
 
 SLOTS = 4096
 
@@ -109,24 +108,31 @@ class SlotMap:
 
 
 def assign(df: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", slots: int = SLOTS, map_path: str | None = None, version: int | None = None) -> DataFrame:
-    """All records with shard and place: key, size, text_crc32, virtual_slot, shard, slot (gapless from 0 in each shard). A map stored
-    under map_path decides (its `version`, the latest by default), and `shards` does not count then; where there is none, one is fitted
-    to the slots' bytes and stored there as version 1. Places are counted inside each virtual slot and moved by the rows of the slots before it, so no task holds
-    a shard."""
+    """All records with shard and place: key, size, text_crc32, virtual_slot, shard, slot (gapless from 0 in each shard); a result that has
+    the key's name gets an underscore behind it. A map stored under map_path decides (its `version`, the latest by default), its length is
+    the number of slots, and `shards` and `slots` do not count then. Where there is no map, one is fitted to the slots' bytes and stored
+    there as version 1; a version that is asked for and isn't there is an error. Places are counted inside each virtual slot and moved by
+    the rows of the slots before it, so no task holds a shard."""
     spark = df.sparkSession
-    rows = written(keyed(df, key, text, slots), "slots")
+    held = SlotMap.stored(spark, map_path, version) if map_path and there(spark, map_path) else None
+    if held is None and version is not None:
+        raise ValueError(f"no slot map with version {version} at {map_path}")
+    slots = len(held.owner) if held else slots
+    rows = written(keyed(df.select(F.col(key).alias("__key"), F.col(text).alias("__text")), "__key", "__text", slots), "slots")
     load = {r.virtual_slot: (r.bytes, r.rows) for r in slot_load(rows).collect()}  # at most `slots` rows
-    path = map_path or scratch_path(spark, "slot-map")
-    try:
-        held = SlotMap.stored(spark, path, version)
+    if held:
         held = SlotMap(held.shards, held.owner, held.version, load)
-    except AnalysisException:
+    else:
         held = SlotMap.fit(load, shards, slots)
-        held.store(spark, path)
+        held.store(spark, map_path or scratch_path(spark, "slot-map"))
     owner = held.table(spark).select("virtual_slot", "shard", "first_place")
-    inside = Window.partitionBy("virtual_slot").orderBy(F.col(key).asc_nulls_first(), "text_crc32", "size")
-    return (
-        rows.withColumn("__at", F.row_number().over(inside))
-        .join(F.broadcast(owner), "virtual_slot")  # `slots` rows at most
-        .select(key, "size", "text_crc32", "virtual_slot", "shard", (F.col("first_place") + F.col("__at") - 1).cast("long").alias("slot"))
-    )
+    inside = Window.partitionBy("virtual_slot").orderBy(F.col("__key").asc_nulls_first(), "text_crc32", "size")
+    out = rows.withColumn("__at", F.row_number().over(inside)).join(F.broadcast(owner), "virtual_slot")  # `slots` rows at most
+    names = free(["size", "text_crc32", "virtual_slot", "shard", "slot"], [key])
+    return out.select("__key", "size", "text_crc32", "virtual_slot", "shard", (F.col("first_place") + F.col("__at") - 1).cast("long").alias("slot")).toDF(key, *names)
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a map has been stored under path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
