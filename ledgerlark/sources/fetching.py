@@ -40,23 +40,30 @@ def get(url: str, fetch: Callable[[str], str], other: Callable[[str], str] | Non
     raise last
 
 
-def pages(urls: DataFrame, cache: DataFrame, fetch: Callable[[str], str], now, other=None, tries: int = 3, hours: float = FRESH_HOURS) -> DataFrame:
+def pages(urls: DataFrame, cache: DataFrame, fetch: Callable[[str], str], now, other=None, tries: int = 3, hours: float = FRESH_HOURS, most_errors: int | None = None) -> DataFrame:
     """urls: url; cache: url, html, at. (url, html, at, error): from the cache where it is fresh, else fetched by the executors, one
-    request for each address. The result's rows without an error are the next cache."""
+    request for each address. The result's rows without an error are the next cache. After most_errors errors in a row a task asks no more."""
     fresh = cache.where(F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("at") <= hours * 3600)
     wanted = urls.select("url").distinct()
     held = fresh.join(wanted, "url", "left_semi").select("url", "html", "at", F.lit(None).cast("string").alias("error"))
 
     def run(batches):
+        wrong = 0
         for b in batches:
             html, error = [], []
             for u in b["url"]:
+                if most_errors is not None and wrong >= most_errors:
+                    html.append(None)
+                    error.append("not asked")
+                    continue
                 try:
                     html.append(get(u, fetch, other, tries))
                     error.append(None)
+                    wrong = 0
                 except (Refused, OSError) as e:
                     html.append(None)
                     error.append(str(e))
+                    wrong += 1
             yield pd.DataFrame({"url": b["url"], "html": html, "error": error})
 
     asked = wanted.join(fresh, "url", "left_anti").mapInPandas(run, "url string, html string, error string")

@@ -9,6 +9,8 @@ from ..functions.numbers import is_free, price_text
 from ..functions.text import clean_text, folded, slug, squeeze
 from ..operators.search import first_by
 
+# Labels of calendars that say nothing about an event.
+NOISE = ["concert", "promotion", "agenda", "sowprog"]
 OFFERS = "`@type` string, isAccessibleForFree boolean, offers array<struct<name:string,price:string,availability:string>>"
 
 
@@ -38,7 +40,12 @@ def occurrences(records: DataFrame, today: str, horizon: int, most: int = 40, id
     kind = F.lower(F.coalesce("price_type", F.lit("")))
     price = F.coalesce(price_text(F.col("price_detail")), F.nullif(kind, F.lit("")))
     genre = F.nullif(F.array_join(F.filter("__tags", lambda x: x != "Concert"), ", "), F.lit(""))
-    told = rows.select(id, "title", "venue", slug(F.col("venue")).alias("venue_slug"), price.alias("price"), (kind == "gratuit").alias("free"), genre.alias("raw_genre"), clean_text(F.coalesce("lead_text", F.lit(""))).alias("description"))
+    more = {"url": "url", "access_link": "ticket_url", "cover_url": "image", "lat": "lat", "lon": "lon"}
+    more = [F.col(c).alias(name) for c, name in more.items() if c in records.columns]
+    if "address_street" in records.columns:
+        part = lambda c: F.nullif(F.col(c), F.lit("")) if c in records.columns else F.lit(None)
+        more.append(F.nullif(F.concat_ws(", ", part("address_street"), part("address_zipcode"), part("address_city")), F.lit("")).alias("address"))
+    told = rows.select(id, *more, "title", "venue", slug(F.col("venue")).alias("venue_slug"), price.alias("price"), (kind == "gratuit").alias("free"), genre.alias("raw_genre"), clean_text(F.coalesce("lead_text", F.lit(""))).alias("description"))
     return top.join(told, id).withColumn("source", F.lit("opendata"))
 
 
