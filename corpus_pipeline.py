@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.llm import bpe, decontam, neardup, pii, toxicity
-from ledgerlark.llm.common import clear, mark, scratch_path
+from ledgerlark.llm.common import clear, mark, scratch_path, small_batches
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go. The model learns from the labels of the documents at hand. Without labels of both kinds
     nothing is learnt and all stay; a null text counts as empty; repeated rows share their fate; an empty table stays empty; other columns pass."""
+    small_batches(spark)
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, below=toxicity.THRESHOLD) if len(model.terms) else docs
 
@@ -19,12 +20,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays, the one with the smallest id (null ids last). A null text counts as empty, and one
     of the empty ones stays; of rows equal in id and text one stays; an empty table stays empty; other columns pass."""
+    small_batches(spark)
     return neardup.distinct(docs).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go. Null and empty texts hold none; without items all stay; rows equal in id and text share
     their fate; an empty table stays empty; other columns pass."""
+    small_batches(spark)
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
@@ -42,6 +45,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty table stays empty; of other columns lang and source pass."""
     import public_tokenizers as P
 
+    small_batches(spark)
     return bpe.encode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, keep=["doc_id", "lang", "source"], outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
 
 

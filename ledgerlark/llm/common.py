@@ -108,6 +108,15 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on a batch of texts that goes to Python has some BATCH_BYTES at most (one row where a row has more), not 10,000 texts of any
+    length; it lies in the executor's memory twice."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def free(results, taken) -> list[str]:
     """Names of results: as they are, with underscores behind them where a kept column has that name, which stays."""
     out = []
