@@ -43,9 +43,9 @@ def squashed(parts: Column) -> Column:
 
 
 def merged_labels(*lists: Column, most: int = 4) -> Column:
-    """Labels of several lists, earlier lists first; null lists count as empty."""
+    """Labels of several lists in one spelling, earlier lists first; null lists count as empty."""
     none = F.array().cast("array<string>")
-    return F.slice(squashed(F.concat(*[F.coalesce(x, none) for x in lists])), 1, most)
+    return canonical_labels(F.concat(*[F.coalesce(x, none) for x in lists]), most)
 
 
 def plain(c: Column) -> Column:

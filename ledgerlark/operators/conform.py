@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions.numbers import km
 from ..functions.text import venue_key
 from .search import first_by
 
-DEGREE = 111.0  # km that a degree of latitude has at least
+EARTH = 6371.0  # km, the radius that distances are reckoned with
 
 
 def by_name(events: DataFrame, venues: DataFrame, key: str = "key", venue_key: str = "venue_key", order: str = "ord", take=("venue",)) -> DataFrame:
@@ -24,18 +26,21 @@ def by_name(events: DataFrame, venues: DataFrame, key: str = "key", venue_key: s
 
 def by_place(events: DataFrame, venues: DataFrame, radius_km: float, keys=("id",), order: str = "ord", take=("venue",)) -> DataFrame:
     """First venue within radius_km, in file order and not by distance; venues with geo_match false, where there is such a column, have
-    none. Places meet by grid cell, nine cells a venue: bands of latitude as wide as the radius, and in each band cells as wide in
-    longitude as the radius is there. Pairs across the 180th meridian do not meet."""
-    cell = radius_km / DEGREE
-    band = lambda c: F.floor(c / F.lit(cell))
-    width = lambda b: F.lit(cell) / F.cos(F.radians(F.least((F.abs(b) + 2) * F.lit(cell), F.lit(89.9))))
-    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    none. Places are points on the unit sphere in cubes as wide as the chord that spans the radius, so two places within it lie in cubes that
+    touch, at the poles and across the 180th meridian as elsewhere. A venue stands in its cube and the 26 around it."""
+    edge = 2 * math.sin(min(radius_km / EARTH, math.pi) / 2) * (1 + 1e-9) + 1e-12
+
+    def cube(lat, lon):
+        xyz = (F.cos(F.radians(lat)) * F.cos(F.radians(lon)), F.cos(F.radians(lat)) * F.sin(F.radians(lon)), F.sin(F.radians(lat)))
+        return [F.floor(c / F.lit(edge)) for c in xyz]
+
     if "geo_match" in venues.columns:
         venues = venues.where(F.coalesce("geo_match", F.lit(True)))
-    v = venues.select(F.col("lat").alias("vlat"), F.col("lon").alias("vlon"), order, *take).withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step))
-    v = v.withColumn("cx", band(F.col("vlat")) + F.col("dx")).withColumn("cy", F.floor(F.col("vlon") / width(F.col("cx"))) + F.col("dy"))
-    e = events.select(*keys, "lat", "lon").withColumn("cx", band(F.col("lat"))).withColumn("cy", F.floor(F.col("lon") / width(F.col("cx"))))
-    near = e.join(v, ["cx", "cy"]).where(km(F.col("lat"), F.col("lon"), F.col("vlat"), F.col("vlon")) <= radius_km)
+    v = venues.select(F.col("lat").alias("vlat"), F.col("lon").alias("vlon"), order, *take)
+    for axis, c in zip("xyz", cube(F.col("vlat"), F.col("vlon")), strict=True):
+        v = v.withColumn(f"c{axis}", F.explode(F.array(c - 1, c, c + 1)))
+    e = events.select(*keys, "lat", "lon").withColumns(dict(zip(("cx", "cy", "cz"), cube(F.col("lat"), F.col("lon")), strict=True)))
+    near = e.join(v, ["cx", "cy", "cz"]).where(km(F.col("lat"), F.col("lon"), F.col("vlat"), F.col("vlon")) <= radius_km)
     return first_by(near, list(keys), [F.col(order)], list(take))
 
 

@@ -64,10 +64,11 @@ def mode_first(df: DataFrame, keys: list[str], value: str, position: str) -> Dat
     return first_by(n, keys, [-F.col("n"), F.col("at")], [value, "n"])
 
 
-def word_shingles(c: Column, longest: int) -> Column:
-    """All runs of 1 to `longest` words, for whole-word containment by an equi-join."""
+def word_shingles(c: Column, longest: int | list[int]) -> Column:
+    """All runs of 1 to `longest` words, or of the numbers of words given, for whole-word containment by an equi-join."""
     w = F.split(c, " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.when(i + k - 1 <= F.size(w), F.array_join(F.slice(w, i, k), " ")))))
+    sizes = F.sequence(F.lit(1), F.lit(longest)) if isinstance(longest, int) else F.array(*map(F.lit, longest)).cast("array<int>")
+    runs = F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.when(i + k - 1 <= F.size(w), F.array_join(F.slice(w, i, k), " ")))))
     return F.array_distinct(F.filter(runs, lambda x: x.isNotNull()))
 
 
@@ -119,17 +120,18 @@ PLAIN_WORDS = [
 ]
 
 
-def liked_hits(events: DataFrame, liked: DataFrame, ids: DataFrame, most_words: int = 8, id: str = "id", acts: str = "acts", profiles: str = "profiles") -> DataFrame:
+def liked_hits(events: DataFrame, liked: DataFrame, ids: DataFrame, id: str = "id", acts: str = "acts", profiles: str = "profiles") -> DataFrame:
     """events: id, acts (names), profiles (ids of their profiles); liked: name; ids: profile. (id, hit): acts whose key is a liked key;
     liked keys of five letters or two words, none of them a plain word, that stand as whole words inside an act's key that is no liked
-    key itself; profiles that are liked. Runs of words meet liked keys by equality, so nothing is compared pair by pair; liked names
-    of over `most_words` words match only when equal."""
+    key itself; profiles that are liked. Runs of words meet liked keys by equality, so nothing is compared pair by pair; runs have the
+    numbers of words that liked keys have, which the driver asks for: a handful of numbers."""
     keys = liked.select(artist_key(F.col("name")).alias("hit")).where("hit != ''").distinct()
     act = events.select(id, F.explode(acts).alias("a")).select(id, artist_key(F.col("a")).alias("key")).where("key != ''").distinct()
     exact = act.join(keys, act["key"] == keys["hit"], "left_semi").select(id, F.col("key").alias("hit"))
     long = keys.where(((F.length("hit") >= 5) | F.contains("hit", F.lit(" "))) & ~F.col("hit").isin(PLAIN_WORDS))
     rest = act.join(keys, act["key"] == keys["hit"], "left_anti")
-    inside = rest.select(id, F.explode(word_shingles(F.col("key"), most_words)).alias("hit")).join(long, "hit").select(id, "hit")
+    sizes = sorted(r.n for r in long.select(F.size(F.split("hit", " ")).alias("n")).distinct().collect())
+    inside = rest.select(id, F.explode(word_shingles(F.col("key"), sizes)).alias("hit")).join(long, "hit").select(id, "hit")
     known = events.select(id, F.explode(profiles).alias("profile")).join(ids, "profile", "left_semi").select(id, F.concat(F.lit("id:"), "profile").alias("hit"))
     return exact.unionByName(inside).unionByName(known).distinct()
 

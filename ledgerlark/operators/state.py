@@ -39,6 +39,19 @@ def migrated(entries: DataFrame, old_horizon: int = 120) -> DataFrame:
     return entries.select("id", F.coalesce("first_seen", "day").alias("first_seen"), F.when(bare, "9999-12-31").otherwise(F.col("date")).alias("date"), "venue", "last", F.coalesce("horizon", F.lit(old_horizon)).alias("horizon"))
 
 
+def state_entries(text: Column) -> Column:
+    """array of struct(id, day, first_seen, date, venue, last, horizon), for migrated(): a state file as it is or was. Each value is a variant,
+    for it is a bare day in older states and an object in newer ones; the oldest have no `ids` around them."""
+    whole = F.from_json(text, "map<string,variant>")
+    inner = F.try_variant_get(whole["ids"], "$", "map<string,variant>")
+    horizon = F.try_variant_get(whole["horizon"], "$", "int")
+    part = lambda v, c: F.try_variant_get(v, f"$.{c}", "string")
+    bare = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    rows = F.map_entries(F.when(F.map_contains_key(whole, "ids"), inner).otherwise(whole))
+    one = lambda e: F.struct(e["key"].alias("id"), bare(e["value"]).alias("day"), *[part(e["value"], c).alias(c) for c in ("first_seen", "date", "venue", "last")], horizon.alias("horizon"))
+    return F.transform(rows, one)
+
+
 def renames(gone: DataFrame, added: DataFrame, bucket: list[str]) -> DataFrame:
     """Pairs of buckets in which exactly one id has gone and one was added."""
     one = lambda d, name: d.groupBy(*bucket).agg(F.min("id").alias(name), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
@@ -76,10 +89,14 @@ def from_source(events: DataFrame, strategy: str, slug: str) -> DataFrame:
 
 
 def in_order(*parts: DataFrame) -> DataFrame:
-    """Union of sources with an ordinal of arrival: first by part, then as each part has them."""
+    """Union of sources with an ordinal of arrival: first by part, then as each part has them. Up to 1024 sources of a million partitions
+    each; more are an error, not an overlap."""
+    if len(parts) > 1024:
+        raise ValueError("over 1024 sources")
     out = None
     for i, p in enumerate(parts):
-        p = p.withColumn("ord", F.lit(i << 48).cast("long") + F.monotonically_increasing_id())
+        place = F.when(F.spark_partition_id() < 1 << 20, F.monotonically_increasing_id()).otherwise(F.raise_error(F.lit("a source of over a million partitions")))
+        p = p.withColumn("ord", F.lit(i << 53).cast("long") + place)
         out = p if out is None else out.unionByName(p, allowMissingColumns=True)
     return out
 

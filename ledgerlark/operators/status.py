@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 LOW = 3
 
 
-def status(report: DataFrame, previous: DataFrame, today: str, low: int = LOW) -> DataFrame:
+def status(report: DataFrame, previous: DataFrame, today: str, low: int = LOW, active: DataFrame | None = None, partial: bool = False) -> DataFrame:
     """report: slug, ord, strategy, low, ok, count, error, last_ok, prev_count; previous: slug, status, failing_since, last_ok, ord, count,
     error. Successes are `low` under the venue's own bar (else `low`) unless open data, else `ok`. A failure goes on with the streak
     that it had; without an earlier report it began the day after the last success; else today. Sources of the report come first in
-    their order, then earlier ones in theirs."""
+    their order, then earlier ones in theirs; after a partial run earlier ones keep their places and new ones follow. Earlier sources that
+    are not in `active` (slug), where it is given, are gone for good."""
     t = F.lit(today)
+    if active is not None:
+        previous = previous.join(active.select("slug"), "slug", "left_semi")
     p = previous.select("slug", *[F.col(c).alias(f"was_{c}") for c in ("status", "failing_since", "last_ok", "ord", "count", "error")])
     j = report.withColumn("__here", F.lit(True)).join(p, "slug", "full")
     here, thin = F.col("__here").isNotNull(), (F.col("count") < F.coalesce("low", F.lit(low))) & (F.col("strategy") != "opendata")
@@ -28,10 +31,33 @@ def status(report: DataFrame, previous: DataFrame, today: str, low: int = LOW) -
         F.when(here, F.when(~F.col("ok"), F.col("error"))).otherwise(F.col("was_error")).alias("error"),
         F.when(here & F.col("ok"), t).otherwise(last).alias("last_ok"),
         F.when(here, F.when(~F.col("ok"), since)).otherwise(F.col("was_failing_since")).alias("failing_since"),
-        F.struct((~here).alias("later"), F.when(here, F.col("ord")).otherwise(F.col("was_ord")).alias("ord")).alias("place"),
+        (F.struct(F.col("was_ord").isNull().alias("later"), F.coalesce("was_ord", "ord").alias("ord")) if partial else F.struct((~here).alias("later"), F.when(here, F.col("ord")).otherwise(F.col("was_ord")).alias("ord"))).alias("place"),
     )
 
 
+def header(new: dict, before: dict, partial: bool) -> dict:
+    """What stands above the rows: a partial run on the day of a full one leaves its time, duration and address."""
+    kept = ("generated_at", "duration_s", "run_url") if partial and before.get("today") == new["today"] else ()
+    return new | {k: before.get(k) for k in kept}
+
+
+def day_values(rows: DataFrame, keep=()) -> DataFrame:
+    """(slug, value): what a day's history holds of each source, as a variant: the count, a number, of one that has answered, the error, a
+    text, of one that failed."""
+    value = F.when(F.col("status") != "failed", F.col("count").cast("long").cast("variant")).otherwise(F.coalesce("error", F.lit("")).cast("variant"))
+    return rows.select(*keep, "slug", value.alias("value"))
+
+
+def counted(value: Column) -> Column:
+    """The count that a history value is; null for an error, also for one that reads like a number."""
+    return F.when(F.schema_of_variant(value) != "STRING", F.try_variant_get(value, "$", "bigint"))
+
+
+def failed_with(value: Column) -> Column:
+    """The error that a history value is; null for a count."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
 def history(today_rows: DataFrame, past: DataFrame, today: str, days: int = 14) -> DataFrame:
     """(date, slug, value): today's values replace those of an earlier run of the day where they cover it; `days` days stay."""
     kept = past.where(F.col("date").between(F.date_format(F.date_sub(F.lit(today).cast("date"), days - 1), "yyyy-MM-dd"), today))

@@ -65,4 +65,4 @@ def test_video(spark):
 def test_band(spark):
     hits = [{"type": "a", "name": "Echo", "url": "u0"}, {"type": "b", "name": "Echo"}, {"type": "b", "name": "The Echo", "url": "u1"}]
     rows = spark.createDataFrame([(json.dumps({"auto": {"results": hits}}), "echo"), (json.dumps({"results": hits}), "Echo"), (json.dumps({"results": []}), "Echo")], "p string, n string")
-    assert [r.x for r in rows.select(payloads.band(F.col("p"), F.col("n")).alias("x")).collect()] == ["u1", "u1", None]
+    assert [r.x for r in rows.select(payloads.band(F.col("p"), F.col("n")).alias("x")).collect()] == ["https://u1", "https://u1", None]
