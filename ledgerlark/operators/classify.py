@@ -17,7 +17,8 @@ def by_rules(text: Column, rules: list[tuple[str, str]], most: int = 3) -> Colum
 
 def cascade(*steps: tuple[str, Column]) -> Column:
     """struct(tags, source) of the first step with a tag; null if none has one."""
-    return F.coalesce(*[F.when(F.size(tags) > 0, F.struct(tags.alias("tags"), F.lit(source).alias("source"))) for source, tags in steps])
+    step = lambda source, tags: let(tags, lambda t: F.when(F.size(t) > 0, F.struct(t.alias("tags"), F.lit(source).alias("source"))))
+    return F.coalesce(*[step(source, tags) for source, tags in steps])
 
 
 def vetoed(flag: Column, text: Column, against: str, hint: str) -> Column:
@@ -56,8 +57,8 @@ def plain(c: Column) -> Column:
 def genres(existing: Column, source_label: Column, title: Column, description: Column, venue_default: Column) -> Column:
     """struct(tags, source): what the event has, else by the source's label, else by title, else by description (two at most), else the
     venue's own; null where none has a tag."""
-    by_title = by_rules(plain(title), TEXT_RULES)
-    by_text = F.when(F.size(by_title) > 0, by_title).otherwise(by_rules(plain(description), TEXT_RULES, 2))
+    by_title = let(plain(title), lambda t: by_rules(t, TEXT_RULES))
+    by_text = let(by_title, lambda t: F.when(F.size(t) > 0, t).otherwise(let(plain(description), lambda x: by_rules(x, TEXT_RULES, 2))))
     return cascade(("site", existing), ("site", by_rules(plain(source_label), SITE_RULES)), ("rules", by_text), ("venue", venue_default))
 
 

@@ -10,15 +10,17 @@ from ..sources.tables import first, table
 from .registry import query
 
 TODAY = "1997-01-01"
-EVENTS = "SELECT l_orderkey * 10 + l_linenumber AS id, strftime(l_shipdate, '%Y-%m-%d') AS date, l_quantity > 2 AS is_music, p_name AS act, s_name AS venue, n_name AS area, p_type AS style, p_brand AS genre FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey"
+LINES = "(SELECT l_orderkey * 10 + l_linenumber AS id, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_shipdate) AS l_shipdate, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1)"
+EVENTS = f"SELECT id, strftime(l_shipdate, '%Y-%m-%d') AS date, l_quantity > 2 AS is_music, p_name AS act, s_name AS venue, n_name AS area, p_type AS style, p_brand AS genre FROM {LINES} JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey"
 
 
 def shows(spark, d):
-    """Order lines as concerts: parts play, suppliers house them."""
+    """Order lines as concerts, one a number: parts play, suppliers house them."""
     line, part, supplier, nation = (table(spark, d, t) for t in ("lineitem", "part", "supplier", "nation"))
+    line = line.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(*[f(c).alias(c) for f, c in ((F.min, "l_partkey"), (F.min, "l_suppkey"), (F.min, "l_shipdate"), (F.max, "l_quantity"))])
     j = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     one = lambda c: F.array(F.col(c))
-    return j.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.lit(None).cast("string").alias("time"), (F.col("l_quantity") > 2).alias("is_music"), F.col("p_name").alias("name"), F.col("s_name").alias("venue"), F.col("n_name").alias("area"), one("p_type").alias("subgenres"), one("p_brand").alias("genres"))
+    return j.select("id", F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.lit(None).cast("string").alias("time"), (F.col("l_quantity") > 2).alias("is_music"), F.col("p_name").alias("name"), F.col("s_name").alias("venue"), F.col("n_name").alias("area"), one("p_type").alias("subgenres"), one("p_brand").alias("genres"))
 
 
 def entries(spark, d):
@@ -99,15 +101,15 @@ def blocks_from_sql(spark, d):
     return rows.select("page_id", "pos", first(F.col("block"), '<a href="([^"]*)">').alias("link"))
 
 
-@query("""WITH a AS (SELECT p_partkey, lower(p_name) AS key FROM part), l AS (SELECT DISTINCT lower(p_name) AS hit FROM part WHERE p_partkey % 2 = 0)
-SELECT p_partkey AS id, hit FROM a JOIN l ON key = hit UNION SELECT p_partkey + 1000000, hit FROM a JOIN l ON length(hit) >= 5 OR contains(hit, ' ')""")
+@query("""WITH a AS (SELECT p_partkey, lower(p_name || ' of the ' || p_type || ' from a to z number ' || p_size) AS key FROM part), l AS (SELECT DISTINCT key AS hit FROM a WHERE p_partkey % 2 = 0)
+SELECT p_partkey AS id, hit FROM a JOIN l ON key = hit UNION SELECT p_partkey + 1000000, hit FROM a JOIN l ON key = hit""")
 def liked_long_names(spark, d):
-    """Each part's name alone, and inside a name of all liked names: runs as long as the longest liked name."""
+    """Names of a dozen words, alone and inside a longer one."""
     part = table(spark, d, "part")
-    liked = part.where("p_partkey % 2 = 0").select(F.col("p_name").alias("name"))
-    names = liked.distinct().agg(F.array_join(F.array_sort(F.collect_set("name")), " and ").alias("all"))  # a part has one of a few dozen names
-    alone = part.select(F.col("p_partkey").alias("id"), F.array("p_name").alias("acts"))
-    within = part.join(F.broadcast(names), F.lit(True)).select((F.col("p_partkey") + 1_000_000).alias("id"), F.array(F.concat(F.lit("zz "), "all")).alias("acts"))
+    name = F.concat("p_name", F.lit(" of the "), "p_type", F.lit(" from A to Z number "), F.col("p_size").cast("string"))
+    liked = part.where("p_partkey % 2 = 0").select(name.alias("name"))
+    alone = part.select(F.col("p_partkey").alias("id"), F.array(name).alias("acts"))
+    within = part.select((F.col("p_partkey") + 1_000_000).alias("id"), F.array(F.concat(F.lit("zz "), name, F.lit(" live"))).alias("acts"))
     none = spark.createDataFrame([], "profile string")
     return search.liked_hits(alone.unionByName(within).withColumn("profiles", F.array().cast("array<string>")), liked, none)
 
