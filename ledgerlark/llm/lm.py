@@ -5,9 +5,11 @@ of text is class 0, the HEADS most frequent tokens have classes of their own, ot
 token with at least one in OWN of all occurrences has a slot of its own, others share the slots of their class by hash.
 
 - Class factor: three hashed features, the token before (bigram), the two before (trigram) and the one before the last (skip), each with
-  a row of class weights; their sum and a bias go through a softmax. Weights are trained by ROUNDS rounds of full-batch gradient updates:
+  a row of class weights; their sum and a bias go through a softmax. Weights are trained by up to ROUNDS rounds of full-batch gradient updates:
   tasks add up what their texts show and what the weights expect for each feature and class, the sums are added over all tasks, and
   each weight moves by STEP times the log of their ratio (iterative scaling: the gradient's sign and zero). A round reads every training text.
+  One training text in HELD, by a hash of its tokens, is not learnt from here: the same passes add up its likelihood, and the weights of
+  the round that it likes best are kept, which may be none. So more rounds never make it worse, and copies are on one side.
 - Slot factor: weights of (token before, slot) under a prior of the slots' shares whose strength is the number of slots seen after the
   token in the class. One feature is active, so the update from zero ends at the maximum: (count + strength x share) / (sum + strength).
   There is a weight for every pair of the training texts, so the model grows with them. Its table is never in one place: pairs meet in
@@ -43,7 +45,7 @@ CLASSES = 1 + HEADS + ENDINGS
 SLOTS, OWN = 1 << 16, 1 << 15
 END = 1  # the end token's hash; its slot and class are 0
 BUCKETS, FEATURES = 1 << 12, 3
-CHUNK, STEP, SMOOTH, ROUNDS = 1 << 20, 0.5, 4.0, 2
+CHUNK, STEP, SMOOTH, ROUNDS, HELD = 1 << 20, 0.5, 400.0, 8, 16
 PART = 1 << 15  # tokens whose softmax is in memory at a time
 BLOCK = 1 << 10  # feature rows that travel together
 
@@ -120,6 +122,11 @@ class Chunk:
         self.first = np.cumsum(self.length) - self.length
         self.on = np.repeat(self.train, self.length)
 
+    def held(self) -> np.ndarray:
+        """By token, whether its text is one of those that tell when to stop."""
+        digest = mix(np.add.reduceat(mix(self.vocab[self.ids]), self.first)) if len(self.first) else np.zeros(0, np.uint64)
+        return np.repeat(digest % np.uint64(HELD) == 0, self.length)
+
     def histories(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the token before and of the one before it; 0 before the text."""
         h = self.vocab[self.ids]
@@ -292,30 +299,38 @@ def token_counts(chunks: DataFrame, most: int = OWN) -> tuple[Model, DataFrame]:
     return Model(int(total), int(distinct), most, h[order], np.append(at, 0)[order], mass, kind, buckets=1 + total // CHUNK), got.select("chunk", "bucket", "data")
 
 
-def summed(chunks: DataFrame, model: Model, expected: bool) -> np.ndarray:
-    """For each feature row and class, over all training tokens: how often the class follows, or how often the weights expect it."""
+def summed(chunks: DataFrame, model: Model, expected: bool) -> tuple[np.ndarray, float]:
+    """For each feature row and class, over the training tokens that are learnt from: how often the class follows, or how often the weights
+    expect it. And the log-likelihood of the classes of those that are not."""
     shared = chunks.sparkSession.sparkContext.broadcast(model)
     width = FEATURES * BUCKETS
 
     def run(batches):
-        m, out = shared.value, np.zeros((CLASSES, width))
+        m, out, like = shared.value, np.zeros((CLASSES, width)), 0.0
         for _, chunk in chunks_of(batches):
+            held = chunk.held()[chunk.on]
             one, two = (x[chunk.on] for x in chunk.histories())
-            y = None if expected else m.kind[m.slots(chunk)][chunk.ids[chunk.on]]
-            for lo in range(0, len(one), PART):
-                part = m.features(one[lo : lo + PART], two[lo : lo + PART])
-                if expected:
+            y = m.kind[m.slots(chunk)][chunk.ids[chunk.on]]
+            for some, tested in ((held, True), (~held, False)):
+                a, b, c = one[some], two[some], y[some]
+                for lo in range(0, len(a), PART):
+                    part, is_ = m.features(a[lo : lo + PART], b[lo : lo + PART]), c[lo : lo + PART]
+                    if not tested and not expected:
+                        for rows in part:
+                            np.add.at(out.reshape(-1), is_ * width + rows, 1)
+                        continue
                     p = m.weights(part)
+                    if tested:
+                        like += float(np.log(p[is_, np.arange(len(is_))] / p.sum(0)).sum(dtype=np.float64))
+                        continue
                     p /= p.sum(0)
-                    for c in range(CLASSES):
+                    for k in range(CLASSES):
                         for rows in part:
-                            out[c] += np.bincount(rows, p[c], width)
-                else:
-                    for rows in part:
-                        np.add.at(out.reshape(-1), y[lo : lo + PART] * width + rows, 1)
+                            out[k] += np.bincount(rows, p[k], width)
         blocks = [out[:, lo : lo + BLOCK] for lo in range(0, width, BLOCK)]
         some = [i for i, b in enumerate(blocks) if b.any()]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([pack(blocks[i].ravel()) for i in some], pa.binary())], ["block", "data"])
+        data = [pack(blocks[i].ravel()) for i in some] + [pack(np.array([like]))]
+        yield pa.RecordBatch.from_arrays([pa.array([*some, len(blocks)], pa.int64()), pa.array(data, pa.binary())], ["block", "data"])
 
     def add(batches):
         held = {}
@@ -327,19 +342,29 @@ def summed(chunks: DataFrame, model: Model, expected: bool) -> np.ndarray:
     schema = "block long, data binary"
     rows = chunks.select(*PACKED).mapInArrow(tidy(run), schema).repartition(width // BLOCK, "block").mapInArrow(tidy(add), schema).collect()  # FEATURES x BUCKETS x CLASSES numbers
     shared.unpersist()
-    out = np.zeros((CLASSES, width))
+    out, like = np.zeros((CLASSES, width)), 0.0
     for r in rows:
-        out[:, r.block * BLOCK : (r.block + 1) * BLOCK] = unpack(bytes(r.data), np.float64).reshape(CLASSES, -1)
-    return out
+        data = unpack(bytes(r.data), np.float64)
+        if r.block * BLOCK < width:
+            out[:, r.block * BLOCK : (r.block + 1) * BLOCK] = data.reshape(CLASSES, -1)
+        else:
+            like = float(data[0])
+    return out, like
 
 
 def trained(chunks: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
-    """The class weights after `rounds` updates. The first needs no pass of its own: without weights a feature expects its share."""
+    """The class weights after the round, of at most `rounds`, that the held texts like best; the search ends with the first that they like
+    less. The first update needs no pass of its own: without weights a feature expects its share."""
     prior = SMOOTH * np.exp(model.bias)[:, None]
-    shown = summed(chunks, model, False)
-    for i in range(rounds):
-        expected = summed(chunks, model, True) if i else shown.sum(0) * np.exp(model.bias)[:, None]
+    shown, best = summed(chunks, model, False)
+    kept, expected = model.w, shown.sum(0) * np.exp(model.bias)[:, None]
+    for _ in range(rounds):
         model.w = (model.w + STEP * np.log((shown + prior) / (expected + prior))).astype(np.float32)
+        expected, like = summed(chunks, model, True)
+        if like <= best:
+            break
+        kept, best = model.w, like
+    model.w = kept
     return model
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import pii, sharding
+from ledgerlark.llm import lm, pii, sharding
 
 
 def texts(n=300):
@@ -39,3 +39,23 @@ def test_any_stored_map(spark, tmp_path):
     for missing in (str(tmp_path / "none"), path):
         with pytest.raises(ValueError):
             sharding.assign(df, 4, "size", "shard", map_path=missing, version=7)
+
+
+def test_lm_stops_where_held_texts_tell(spark):
+    """More rounds are never worse for the texts that tell when to stop; copies of a text are on one side."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(50)]
+    texts = ["the cat sat on the mat " * rng.randrange(1, 4) + " ".join(rng.choices(words, k=rng.randrange(30))) for _ in range(300)]
+    df = spark.createDataFrame([(i, texts[i % 200]) for i in range(400)], "doc_id long, text string")
+    chunks = lm.chunked(df, F.lit(True), "text", ("doc_id",))
+    like = []
+    for rounds in (0, 1, 3, 8):
+        model, _ = lm.token_counts(chunks)
+        like.append(lm.summed(chunks, lm.trained(chunks, model, rounds), True)[1])
+    assert like == sorted(like) and like[0] < like[-1] < 0
+    held = {}
+    for row in chunks.select("rows", *lm.PACKED).collect():
+        chunk = lm.Chunk(row.asDict())
+        for r, h in zip(row.rows, chunk.held()[chunk.first], strict=True):
+            held.setdefault(texts[r.doc_id % 200], set()).add(bool(h))
+    assert all(len(v) == 1 for v in held.values()) and {True, False} == set().union(*held.values())
