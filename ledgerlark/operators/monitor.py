@@ -1,4 +1,4 @@
-"""Calendars, running totals, triage."""
+"""Calendars."""
 
 from __future__ import annotations
 
@@ -13,10 +13,3 @@ def calendar(days: DataFrame, day: str, carried: list[str]) -> DataFrame:
     every = ends.select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias(day))
     w = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
     return every.join(days, day, "left").withColumns({c: F.last(c, True).over(w) for c in carried})
-
-
-def triage(df: DataFrame, most: int, worn: int) -> DataFrame:
-    """df: key, since, tried_today, tries. Reason in order: tried today, worn out, over the cap (which only eligible rows use up)."""
-    ok = ~F.col("tried_today") & (F.col("tries") < worn)
-    ranked = df.withColumn("place", F.when(ok, F.row_number().over(Window.partitionBy(ok).orderBy("since", "key"))))
-    return ranked.withColumn("reason", F.when(F.col("tried_today"), "today").when(F.col("tries") >= worn, "worn").when(F.col("place") > most, "over").otherwise("go")).drop("place")

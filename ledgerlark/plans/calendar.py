@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, numbers
 from ..functions.text import cause
-from ..operators import monitor, state
+from ..operators import monitor, state, status
 from ..operators.merge import first_filled
 from ..sources.tables import table
 from .registry import query
@@ -136,7 +136,11 @@ def status_build(spark, d):
     e = table(spark, d, "events").withColumn("day", F.col("ts").cast("date"))
     on = lambda x, c: e.where(F.col("day") == F.lit(x).cast("date")).groupBy("user_id").agg(F.count(F.lit(1)).alias(c))
     j = on("2024-01-10", "prev_count").join(on("2024-01-11", "n"), "user_id", "full")
-    return j.select("user_id", "n", "prev_count", F.when(F.col("n").isNull(), "failed").when(F.col("n") < 2, "low").otherwise("ok").alias("status"))
+    none = F.lit(None).cast("string")
+    report = j.select(F.col("user_id").alias("slug"), F.col("user_id").alias("ord"), F.lit("html").alias("strategy"), F.lit(None).cast("int").alias("low"), F.col("n").isNotNull().alias("ok"), F.col("n").alias("count"), none.alias("error"), none.alias("last_ok"))
+    before = report.limit(0).select("slug", none.alias("status"), none.alias("failing_since"), "last_ok", "ord", "count", "error")
+    rows = status.status(report, before, "2024-01-11", low=2).select(F.col("slug").alias("user_id"), "status")
+    return j.join(rows, "user_id").select("user_id", "n", "prev_count", "status")
 
 
 @query(f"""WITH o AS ({EVENT_DAYS}), n AS (SELECT day, n + 1000 AS n, usd FROM o WHERE day(day) % 2 = 0), a AS (SELECT * FROM o WHERE day(day) % 3 <> 0)
@@ -160,15 +164,21 @@ def usage_cost(spark, d):
 SELECT cause, count(*) AS n, min(event_id) AS first_id FROM e GROUP BY 1 HAVING count(*) >= 3""")
 def cause_groups(spark, d):
     text = F.concat(F.lit("0 events parsed (was "), (F.col("event_id") % 9).cast("string"), F.lit("): timeout "), "event_type", F.lit(" for https://x.example/"), F.col("user_id").cast("string"))
-    return table(spark, d, "events").groupBy(cause(text).alias("cause")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id")).where("n >= 3")
+    rows = table(spark, d, "events").select(F.col("event_id").alias("slug"), cause(text).alias("cause"))
+    return status.causes(rows, "no such cause").join(rows.groupBy("cause").agg(F.min("slug").alias("first_id")), "cause")
 
 
 @query("""WITH t AS (SELECT s_suppkey AS key, s_nationkey AS since, s_suppkey % 7 = 0 AS tried_today, s_suppkey % 5 AS tries FROM supplier),
 r AS (SELECT *, row_number() OVER (PARTITION BY NOT tried_today AND tries < 3 ORDER BY since, key) AS place FROM t)
 SELECT key, CASE WHEN tried_today THEN 'today' WHEN tries >= 3 THEN 'worn' WHEN place > 5 THEN 'over' ELSE 'go' END AS reason FROM r""")
 def triage_caps(spark, d):
-    t = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("since"), (F.col("s_suppkey") % 7 == 0).alias("tried_today"), (F.col("s_suppkey") % 5).alias("tries"))
-    return monitor.triage(t, 5, 3).select("key", "reason")
+    k, today = F.col("s_suppkey"), "2024-01-20"
+    days = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.concat(F.lit("2023-12-0"), i.cast("string")))
+    tried = F.concat(F.slice(days, F.lit(1), (k % 5).cast("int")), F.when(k % 7 == 0, F.array(F.lit(today))).otherwise(F.array().cast("array<string>")))
+    since = F.date_format(F.date_add(F.lit("2023-01-01").cast("date"), F.col("s_nationkey").cast("int")), "yyyy-MM-dd")
+    failing = table(spark, d, "supplier").select(F.lpad(k.cast("string"), 12, "0").alias("slug"), F.lit("own").alias("cause"), since.alias("failing_since"), tried.alias("tried"))
+    got = status.triage(failing, spark.createDataFrame([], "cause string"), today)
+    return got.select(F.col("slug").cast("long").alias("key"), "reason")
 
 
 @query("""SELECT user_id, arg_min(props, event_id) FILTER (WHERE event_id % 3 = 0) AS props FROM events GROUP BY 1""")

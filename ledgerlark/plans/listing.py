@@ -78,9 +78,8 @@ def programme_sort_rank(spark, d):
 
 @query("""SELECT user_id, CAST(min(ts) AS DATE) AS first_day, CASE WHEN date_diff('second', min(ts), TIMESTAMP '2024-01-10 00:00:00') <= 7 * 86400 AND min(ts) <= TIMESTAMP '2024-01-10 00:00:00' THEN true ELSE false END AS is_new FROM events GROUP BY 1""")
 def new_window(spark, d):
-    age = F.unix_timestamp(F.lit("2024-01-10 00:00:00").cast("timestamp")) - F.unix_timestamp(F.col("first").cast("timestamp"))
     first = table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("first"))
-    return first.select("user_id", F.col("first").cast("date").alias("first_day"), age.between(0, 7 * 86400).alias("is_new"))
+    return first.select("user_id", F.col("first").cast("date").alias("first_day"), search.is_new(F.col("first").cast("string"), F.lit("2024-01-10 00:00:00")).alias("is_new"))
 
 
 @query("""SELECT n_nationkey, seg AS segment, n FROM (SELECT c_nationkey AS n_nationkey, c_mktsegment AS seg, count(*) AS n, min(c_custkey) AS p,
