@@ -66,3 +66,14 @@ def test_band(spark):
     hits = [{"type": "a", "name": "Echo", "url": "u0"}, {"type": "b", "name": "Echo"}, {"type": "b", "name": "The Echo", "url": "u1"}]
     rows = spark.createDataFrame([(json.dumps({"auto": {"results": hits}}), "echo"), (json.dumps({"results": hits}), "Echo"), (json.dumps({"results": []}), "Echo")], "p string, n string")
     assert [r.x for r in rows.select(payloads.band(F.col("p"), F.col("n")).alias("x")).collect()] == ["https://u1", "https://u1", None]
+
+
+def test_related_and_encyclopedia(spark):
+    data = lambda *names: json.dumps({"data": [{"id": i, "name": n} for i, n in enumerate(names)]})
+    rows = spark.createDataFrame([(data("Echo Park", "ÉCHO"), "echo"), (data("The Echo Band", "x"), "Echo Trio"), (data("Other"), "Echo"), (data(), "Echo"), ("bad", "Echo")], "p string, n string")
+    assert [r.x for r in rows.select(payloads.related(F.col("p"), F.col("n"))["name"].alias("x")).collect()] == ["ÉCHO", "The Echo Band", None, None, None]
+    found = json.dumps({"query": {"search": [{"title": "Sound"}, {"title": "Écho (groupe)"}]}})
+    pages = [{"type": "standard", "extract": "Echo is a band. " * 40, "content_urls": {"desktop": {"page": "u"}}}, {"type": "disambiguation", "extract": "a band"}, {"extract": "A village in the hills."}]
+    assert spark.range(1).select(payloads.article(F.lit(found), F.lit("Echo Nova"))).first()[0] == "Écho (groupe)"
+    got = [r.x for r in spark.createDataFrame([(i, json.dumps(p)) for i, p in enumerate(pages)], "i int, p string").orderBy("i").select(payloads.biography(F.col("p")).alias("x")).collect()]
+    assert got[0].url == "u" and got[0].extract.endswith("band.…") and len(got[0].extract) <= 401 and got[1:] == [None, None]
