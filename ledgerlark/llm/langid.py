@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, folded, spread, tidy, written
+from .common import Memo, folded, free, spread, tidy, written
 
 BUCKETS, ALPHA = 1 << 15, 0.1
 TEMPER = 0.3  # words of a text are not independent: their log-likelihood counts by this share
@@ -109,11 +109,12 @@ def normal(z: Column) -> Column:
 
 def identify(pages: DataFrame, labelled: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per page: key, host, declared, text_lang (by text alone; null without any word known to no language more than another),
-    lang, prob."""
+    lang, prob. A result that has the key's name gets an underscore behind it."""
+    names_out = [key, *free(["host", "declared", "text_lang", "lang", "prob"], [key])]
     langs, logs = learn(labelled, text, lang)
     rows = written(text_evidence(pages, logs, key, url, html, langs), "pages")
     if not langs:
-        return rows.select(F.col("__key").alias(key), "host", "declared", F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("prob"))
+        return rows.select("__key", "host", "declared", F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("prob")).toDF(*names_out)
     names = F.array(*map(F.lit, langs))
     size = len(langs)
     rows = rows.withColumn("soft", normal(F.col("like")))
@@ -150,4 +151,4 @@ def identify(pages: DataFrame, labelled: DataFrame, key: str = "page_id", url: s
     best = lambda a: F.get(names, (F.array_position(a, F.array_max(a)) - 1).cast("int"))
     flatly = F.array_max("like") == F.array_min("like")
     out = all_of.withColumn("post", normal(z))
-    return out.select(F.col("__key").alias(key), "host", "declared", F.when(~flatly | F.lit(size == 1), best(F.col("like"))).alias("text_lang"), best(F.col("post")).alias("lang"), F.array_max("post").alias("prob"))
+    return out.select("__key", "host", "declared", F.when(~flatly | F.lit(size == 1), best(F.col("like"))).alias("text_lang"), best(F.col("post")).alias("lang"), F.array_max("post").alias("prob")).toDF(*names_out)

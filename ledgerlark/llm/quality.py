@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, mix, tidy
+from .common import Memo, free, mix, tidy
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -128,7 +128,8 @@ def sampled(df: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> list[
 
 def cascade(df: DataFrame, text: str = "text", keep=("doc_id",), rules=None, order: list[str] | None = None, measures: bool = True) -> DataFrame:
     """Per row: `keep`, kept, failed_rule (the first in cascade order, null if kept), base_failed and, with measures=True, the
-    measures that the base rules rest on, which are then computed for every text whatever the cascade has decided."""
+    measures that the base rules rest on, which are then computed for every text whatever the cascade has decided. A result that has a
+    kept column's name gets an underscore behind it."""
     rules = RULES if rules is None else rules
     if order is None:
         order = [x["rule"] for x in plan(sampled(df, text), rules)]
@@ -136,11 +137,9 @@ def cascade(df: DataFrame, text: str = "text", keep=("doc_id",), rules=None, ord
     chain = [by[n] for n in order]
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"] if measures else []
     inner = df.select(F.col(text).cast("string").cast("binary").alias("__text"), *[F.col(c) for c in keep])
-    schema = T.StructType(
-        [f for f in inner.schema.fields if f.name != "__text"]
-        + [T.StructField(n, T.LongType()) for n in names]
-        + [T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("failed_rule", T.StringType())]
-    )
+    kinds = [T.LongType()] * len(names) + [T.BooleanType(), T.BooleanType(), T.StringType()]
+    results = free([*names, "base_failed", "kept", "failed_rule"], keep)
+    schema = T.StructType(inner.schema.fields[1:] + [T.StructField(n, k) for n, k in zip(results, kinds, strict=True)])
 
     def run(batches):
         memo = hashed_words()

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import find_spans, written
+from .common import find_spans, free, written
 
 # The kinds' expressions.
 KEYS = r"(?:[Pp][Aa][Ss][Ss](?:[Ww][Oo][Rr][Dd]|[Ww][Dd])|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -63,10 +63,11 @@ def ownership(hits: DataFrame) -> DataFrame:
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id", few: int = FEW, few_repos: int = FEW_REPOS) -> DataFrame:
-    """One row per input row: key, spans (array of start, kind, end, verdict, n_owners, n_repos; by start, then kind as listed)."""
+    """One row per input row: key, spans (array of start, kind, end, verdict, n_owners, n_repos; by start, then kind as listed). A key named
+    spans keeps its name, and the result gets an underscore behind its own."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = df.select(F.col(key), F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo"), t.alias("t"))
-    rows = rows.select(key, "owner", "repo", candidates(F.col("t")).alias("found")).withColumn("row", F.monotonically_increasing_id())
+    rows = df.select(F.col(key).alias("__key"), F.col(owner).cast("string").alias("owner"), F.col(repo).cast("string").alias("repo"), t.alias("t"))
+    rows = rows.select("__key", "owner", "repo", candidates(F.col("t")).alias("found")).withColumn("row", F.monotonically_increasing_id())
     rows = written(rows, "secrets")  # row numbers are fixed from here on
     hits = rows.where(F.size("found") > 0).select("row", "owner", "repo", F.explode("found").alias("c")).select("row", "owner", "repo", "c.*")
     counts = ownership(hits).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -75,7 +76,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "s
     known = known.where((F.col("kind") != "owned") | (F.col("verdict") == "live"))
     by_row = known.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end", "verdict", "n_owners", "n_repos"))).alias("spans"))
     none = F.array().cast(by_row.schema["spans"].dataType)
-    return rows.join(by_row, "row", "left").select(key, F.coalesce("spans", none).alias("spans"))
+    return rows.join(by_row, "row", "left").select("__key", F.coalesce("spans", none).alias("spans")).toDF(key, *free(["spans"], [key]))
 
 
 def verdicts(spans: Column) -> Column:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import lm, pii, sharding
+from ledgerlark.llm import langid, lm, pii, quality, secrets, sharding
 
 
 def texts(n=300):
@@ -59,3 +59,16 @@ def test_lm_stops_where_held_texts_tell(spark):
         for r, h in zip(row.rows, chunk.held()[chunk.first], strict=True):
             held.setdefault(texts[r.doc_id % 200], set()).add(bool(h))
     assert all(len(v) == 1 for v in held.values()) and {True, False} == set().union(*held.values())
+
+
+def test_keys_with_names_of_results(spark):
+    rows = spark.createDataFrame([(i, "token=abcdef1 and more words here " * 3, "en", "src") for i in range(5)], "owner long, text string, lang string, source string")
+    for key in ("owner", "t", "row", "spans", "repo"):
+        got = secrets.scan(rows.withColumnRenamed("owner", key), key=key, repo=key)
+        assert got.columns == [key, "spans_" if key == "spans" else "spans"] and got.count() == 5
+    got = quality.cascade(rows.withColumnsRenamed({"owner": "kept", "source": "n_words"}), keep=("kept", "n_words"), order=[r.name for r in quality.RULES])
+    assert got.columns == ["kept", "n_words", "n_words_", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept_", "failed_rule"] and sorted(r.kept for r in got.collect()) == [0, 1, 2, 3, 4]
+    pages = spark.createDataFrame([(i, "http://a.example.org/x", "<html lang=en>more words here") for i in range(5)], "host long, url string, html string")
+    for labelled in (rows, rows.limit(0)):
+        got = langid.identify(pages, labelled, key="host")
+        assert got.columns == ["host", "host_", "declared", "text_lang", "lang", "prob"] and sorted(r.host for r in got.collect()) == [0, 1, 2, 3, 4]
