@@ -91,9 +91,9 @@ def needs_tags(is_music: Column, source: Column, subgenres: Column, strong=("sit
 
 
 def tag_noise(tags: Column, title: Column, venue: Column, noise: list[str]) -> Column:
-    """Distinct tags without noise words, the venue's name and what the title says already."""
-    low = folded(title)
-    return F.array_distinct(F.filter(tags, lambda t: ~folded(t).isin(noise) & (folded(t) != folded(venue)) & ~F.contains(low, folded(t))))
+    """Distinct tags without noise words, those that hold the venue's name and those that the title says already, whatever their case."""
+    said, house = F.lower(title), F.lower(venue)
+    return F.array_distinct(F.filter(tags, lambda t: (t != "") & ~F.lower(t).isin(noise) & ~F.contains(F.lower(t), house) & ~F.contains(said, F.lower(t))))
 
 
 # Fixed value: what separates labels.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import is_free, price_text
 from ..functions.text import clean_text, folded, slug, squeeze
+from ..operators.classify import tag_noise
 from ..operators.search import first_by
 
 # Labels of calendars that say nothing about an event.
@@ -56,13 +57,13 @@ def calendar(records: DataFrame, venue: str, noise: list[str], share: float = 0.
     often = records.select(F.explode("categories").alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).where(F.col("n") > share * F.col("total"))  # one row
     often = often.agg(F.collect_set("c").alias("generic"))  # at most 1 / share of an event's categories are on so many events
     rows = records.crossJoin(F.broadcast(often)).withColumn("title", clean_text(F.coalesce("title", F.lit(""))))  # one row
-    low = F.lower("title")
-    words = F.concat(F.filter("categories", lambda c: ~F.array_contains("generic", c)), "tags")
-    kept = F.array_distinct(F.filter(words, lambda w: (w != "") & ~F.lower(w).isin(noise) & ~F.contains(F.lower(w), F.lit(venue.lower())) & ~F.contains(low, F.lower(w))))
+    kept = tag_noise(F.concat(F.filter("categories", lambda c: ~F.array_contains("generic", c)), "tags"), F.col("title"), F.lit(venue), noise)
+    told = [F.nullif(F.col(c), F.lit("")) for c in ("excerpt", "description") if c in records.columns]
+    image = [F.col("image")] if "image" in records.columns else []
     start = F.substring("start_date", 1, 16)
     return rows.select(
         "id", "title", F.substring(start, 1, 10).alias("date"), F.nullif(F.substring(start, 12, 5), F.lit("")).alias("time"), F.lit(venue).alias("venue"), "url", price_text(F.col("cost")).alias("price"), is_free(F.col("cost")).alias("free"),
-        F.nullif(F.array_join(kept, ", "), F.lit("")).alias("raw_genre"), clean_text(F.coalesce("excerpt", F.lit(""))).alias("description"),
+        F.nullif(F.array_join(kept, ", "), F.lit("")).alias("raw_genre"), clean_text(F.coalesce(*told, F.lit(""))).alias("description"), *image,
     )
 
 
