@@ -51,7 +51,13 @@ def json_answer(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object(body, "$.k").cast("long").alias("k"))
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), s(doc_id, i, n, done, open) AS (
+SELECT doc_id, 0, 0, 0, 0 FROM l
+UNION ALL SELECT doc_id, i, CASE WHEN cut THEN 0 ELSE m END, done + CASE WHEN cut THEN 1 ELSE 0 END, CASE WHEN cut THEN 0 ELSE o END FROM
+(SELECT *, m >= 1500 AND substr(sha1(line), 4, 1) = '0' AS cut FROM
+(SELECT s.doc_id, s.i + 1 AS i, ls[s.i + 1] AS line, CASE WHEN n + length(ls[s.i + 1]) > 3000 AND open > 0 THEN 0 ELSE n END + length(ls[s.i + 1]) + 1 AS m,
+done + CASE WHEN n + length(ls[s.i + 1]) > 3000 AND open > 0 THEN 1 ELSE 0 END AS done, CASE WHEN n + length(ls[s.i + 1]) > 3000 THEN 1 ELSE open + 1 END AS o FROM s JOIN l USING (doc_id) WHERE s.i < len(ls))))
+SELECT doc_id, CAST(arg_max(done + CASE WHEN open > 0 THEN 1 ELSE 0 END, i) AS INTEGER) AS n_chunks, true AS round_trip FROM s GROUP BY 1""")
 def chunk_text(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", chunks(F.col("text"), 3000).alias("c"))
     return docs.select("doc_id", F.size("c").alias("n_chunks"), (F.array_join("c", "\n") == F.col("text")).alias("round_trip"))
