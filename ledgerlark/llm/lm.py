@@ -311,22 +311,25 @@ def summed(chunks: DataFrame, model: Model, expected: bool) -> tuple[np.ndarray,
             held = chunk.held()[chunk.on]
             one, two = (x[chunk.on] for x in chunk.histories())
             y = m.kind[m.slots(chunk)][chunk.ids[chunk.on]]
-            for some, tested in ((held, True), (~held, False)):
-                a, b, c = one[some], two[some], y[some]
-                for lo in range(0, len(a), PART):
-                    part, is_ = m.features(a[lo : lo + PART], b[lo : lo + PART]), c[lo : lo + PART]
-                    if not tested and not expected:
-                        for rows in part:
-                            np.add.at(out.reshape(-1), is_ * width + rows, 1)
-                        continue
-                    p = m.weights(part)
-                    if tested:
-                        like += float(np.log(p[is_, np.arange(len(is_))] / p.sum(0)).sum(dtype=np.float64))
-                        continue
-                    p /= p.sum(0)
-                    for k in range(CLASSES):
-                        for rows in part:
-                            out[k] += np.bincount(rows, p[k], width)
+            for lo in range(0, int(held.sum()), PART):
+                part, is_ = m.features(one[held][lo : lo + PART], two[held][lo : lo + PART]), y[held][lo : lo + PART]
+                p = m.weights(part)
+                like += float(np.log(p[is_, np.arange(len(is_))] / p.sum(0)).sum(dtype=np.float64))
+            one, two, y = one[~held], two[~held], y[~held]
+            if expected:  # the same for all tokens with one history
+                _, first, n = np.unique(mix(one + np.uint64(13)) + two, return_index=True, return_counts=True)
+                one, two = one[first], two[first]
+            for lo in range(0, len(one), PART):
+                part = m.features(one[lo : lo + PART], two[lo : lo + PART])
+                if not expected:
+                    for rows in part:
+                        np.add.at(out.reshape(-1), y[lo : lo + PART] * width + rows, 1)
+                    continue
+                p = m.weights(part)
+                p *= (n[lo : lo + PART] / p.sum(0)).astype(np.float32)
+                for k in range(CLASSES):
+                    for rows in part:
+                        out[k] += np.bincount(rows, p[k], width)
         blocks = [out[:, lo : lo + BLOCK] for lo in range(0, width, BLOCK)]
         some = [i for i, b in enumerate(blocks) if b.any()]
         data = [pack(blocks[i].ravel()) for i in some] + [pack(np.array([like]))]
