@@ -16,6 +16,8 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.driver.memory", "4g")
+        .config("spark.sql.ui.retainedExecutions", "20")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
