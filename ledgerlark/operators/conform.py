@@ -27,7 +27,8 @@ def by_name(events: DataFrame, venues: DataFrame, key: str = "key", venue_key: s
 def by_place(events: DataFrame, venues: DataFrame, radius_km: float, keys=("id",), order: str = "ord", take=("venue",)) -> DataFrame:
     """First venue within radius_km, in file order and not by distance; venues with geo_match false, where there is such a column, have
     none. Places are points on the unit sphere in cubes as wide as the chord that spans the radius, so two places within it lie in cubes that
-    touch, at the poles and across the 180th meridian as elsewhere. A venue stands in its cube and the 26 around it."""
+    touch, at the poles and across the 180th meridian as elsewhere. A venue stands in its cube and the 26 around it. Of venues at one place
+    only the first can be met, and events at one place meet the same one, so places meet, each once, however many rows stand there."""
     edge = 2 * math.sin(min(radius_km / EARTH, math.pi) / 2) * (1 + 1e-9) + 1e-12
 
     def cube(lat, lon):
@@ -36,12 +37,13 @@ def by_place(events: DataFrame, venues: DataFrame, radius_km: float, keys=("id",
 
     if "geo_match" in venues.columns:
         venues = venues.where(F.coalesce("geo_match", F.lit(True)))
-    v = venues.select(F.col("lat").alias("vlat"), F.col("lon").alias("vlon"), order, *take)
+    v = first_by(venues.select(F.col("lat").alias("vlat"), F.col("lon").alias("vlon"), order, *take), ["vlat", "vlon"], [F.col(order)], [c for c in dict.fromkeys([order, *take])])
     for axis, c in zip("xyz", cube(F.col("vlat"), F.col("vlon")), strict=True):
         v = v.withColumn(f"c{axis}", F.explode(F.array(c - 1, c, c + 1)))
-    e = events.select(*keys, "lat", "lon").withColumns(dict(zip(("cx", "cy", "cz"), cube(F.col("lat"), F.col("lon")), strict=True)))
+    e = events.select("lat", "lon").distinct().withColumns(dict(zip(("cx", "cy", "cz"), cube(F.col("lat"), F.col("lon")), strict=True)))
     near = e.join(v, ["cx", "cy", "cz"]).where(km(F.col("lat"), F.col("lon"), F.col("vlat"), F.col("vlon")) <= radius_km)
-    return first_by(near, list(keys), [F.col(order)], list(take))
+    at = first_by(near, ["lat", "lon"], [F.col(order)], [c for c in dict.fromkeys([order, *take])])
+    return first_by(events.select(*keys, "lat", "lon").join(at, ["lat", "lon"]), list(keys), [F.col(order)], list(take))
 
 
 def canonical(events: DataFrame, venues: DataFrame, radius_km: float, key: str = "id") -> DataFrame:

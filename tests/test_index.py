@@ -131,3 +131,14 @@ def test_blocks_from_sql(spark):
     got = {(r.id, r.pos, r.block) for r in spark.sql("SELECT id, b.pos, b.block FROM some_pages, LATERAL html_blocks(html, '<li>') b").collect()}
     want = {(r.id, r.pos, r.block) for r in pages.select("id", F.posexplode(tables.blocks(F.col("html"), "<li>")).alias("pos", "block")).collect()}
     assert got == want and len(got) == 3
+
+
+def test_places_meet_once(spark, monkeypatch):
+    """Many events and venues at few places: rows that any aggregation reads stay near the number given, and each event has its first venue."""
+    read, first_by = [], conform.first_by
+    monkeypatch.setattr(conform, "first_by", lambda df, *a: (read.append(df.count()), first_by(df, *a))[1])
+    events = spark.range(400).select("id", (48.0 + F.col("id") % 2).alias("lat"), F.when(F.col("id") < 398, 2.0).alias("lon"))
+    venues = spark.range(300).select((300 - F.col("id")).alias("ord"), F.col("id").alias("venue"), (48.0 + F.col("id") % 3).alias("lat"), F.lit(2.0005).alias("lon"))
+    got = {r.id: r.venue for r in conform.by_place(events, venues, 0.1).collect()}
+    assert got == {i: 298 if i % 2 else 297 for i in range(398)}
+    assert max(read) <= 400
