@@ -10,8 +10,8 @@ Scale: equal texts collapse first (only digests are shuffled), so copies never m
 with two leaders, the one that shares most buckets overall (the hub of its group) and one drawn by a hash of the bucket. A leader with
 many members is repeated over parts of at most PART_ROWS members or so, and each task streams members past one leader at a time. Then
 all pairs of a bucket that the leaders left in different components are tested: pair by pair where a bucket has at most SMALL texts, and
-by tiles, blocks of some PART_ROWS texts against blocks, in larger ones; a tile counts equal words first, which bounds the alignment
-from above. So texts that share a bucket are either linked by a chain or tested with each other. Joins on a digest, a bucket, a vertex
+by tiles, blocks of some PART_ROWS texts against blocks, in larger ones, where those of the most frequent component meet the others only;
+a tile counts equal words first, which bounds the alignment from above. So texts that share a bucket are either linked by a chain or tested with each other. Joins on a digest, a bucket, a vertex
 or a class spread frequent values over salts. Components are found by alternating star contractions on tables; nothing is collected but
 two numbers a round.
 
@@ -282,11 +282,24 @@ def apart(at: DataFrame, root: DataFrame, pairs: DataFrame) -> DataFrame:
     none = [F.lit(-1).alias("i"), F.lit(-1).alias("j")]
     first = few.select(F.col("u_id").alias("tile"), *none, F.lit(0).alias("side"), F.col("u_id").alias("id"), F.col("u_root").alias("root")).distinct()
     second = few.select(F.col("u_id").alias("tile"), *none, F.lit(1).alias("side"), F.col("v_id").alias("id"), F.col("v_root").alias("root"))
-    blocks = F.ceil(F.col("c") / PART_ROWS).cast("int")
-    many = at.where(F.col("c") > SMALL).withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return first.unionByName(second).unionByName(crowded(at.where(F.col("c") > SMALL)))
+
+
+def crowded(at: DataFrame) -> DataFrame:
+    """Tiles for buckets of many texts: key, id, root. Texts of a bucket's most frequent root meet the rest alone, so rows grow with the
+    square of what the leaders left apart, not of the bucket."""
+    at = at.select(F.col("key").alias("tile"), "id", "root")
+    roots = at.groupBy("tile", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("tile").agg(F.sum("k").alias("c"), F.max(F.struct("k", "root")).alias("most"))
+    at = spread(at, written(roots, "roots"), "tile", "c", "id")
+    parts = lambda n: F.ceil(n / PART_ROWS).cast("int")
+    rest, main = parts(F.col("c") - F.col("most.k")), parts(F.col("most.k"))
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    block = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    cols = lambda side: ["tile", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), side.alias("side"), "id", "root"]
     which = F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0).otherwise(1)
-    many = many.select(F.col("key").alias("tile"), F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), which.alias("side"), "id", "root")
-    return first.unionByName(second).unionByName(many)
+    left = at.where("root != most.root").withColumn("own", own(rest)).withColumn("with", block(rest + main)).select(*cols(which))
+    right = at.where("root = most.root").withColumn("own", rest + own(main)).withColumn("with", block(rest)).select(*cols(F.lit(1)))
+    return left.unionByName(right)
 
 
 def missed(tiles: DataFrame, reps: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:

@@ -267,6 +267,18 @@ def test_neardup_crowd(spark):
     assert got.class_id.tolist() == [i - i % 2 for i in range(len(texts))]
 
 
+def test_neardup_crowded_rows(spark):
+    """A crowd that the leaders made one, with a few others: each meets the few once, and every pair of two roots shares a tile."""
+    from pyspark.sql import functions as F
+
+    n, few = 4 * neardup.PART_ROWS, 3
+    at = spark.range(n + few).select(F.lit(7).cast("long").alias("key"), "id", F.when(F.col("id") < n, 0).otherwise(F.col("id")).alias("root"))
+    rows = neardup.crowded(at).toPandas()
+    assert len(rows) <= n + few * 8
+    met = {x: set(rows[rows.id == x][["i", "j"]].apply(tuple, axis=1)) for x in (*range(n, n + few), *range(0, n, 100))}
+    assert all(met[x] & met[y] for x in range(n, n + few) for y in met)
+
+
 def test_neardup_edits(spark):
     """Words replaced, dropped or added at 1 to 10 %: of the pairs at 0.8 or more by an unbanded alignment, at least 0.95 are found; of
     those below, none is linked."""
