@@ -7,7 +7,8 @@ token with at least one in OWN of all occurrences has a slot of its own, others
 - Class factor: three hashed features, the token before (bigram), the two before (trigram) and the one before the last (skip), each with
   a row of class weights; their sum and a bias go through a softmax. Weights are trained by up to ROUNDS rounds of full-batch gradient updates:
   tasks add up what their texts show and what the weights expect for each feature and class, the sums are added over all tasks, and
-  each weight moves by STEP times the log of their ratio (iterative scaling: the gradient's sign and zero). A round reads every training text.
+  each weight moves by STEP times the log of their ratio (iterative scaling: the gradient's sign and zero). A round stands for every training
+  text, but reads a table that is made once: the distinct histories of some MERGED chunks' as rows of features, each with its number.
   One training text in HELD, by a hash of its tokens, is not learnt from here: the same passes add up its likelihood, and the weights of
   the round that it likes best are kept, which may be none. So more rounds never make it worse, and copies are on one side.
 - Slot factor: weights of (token before, slot) under a prior of the slots' shares whose strength is the number of slots seen after the
@@ -48,6 +49,8 @@ BUCKETS, FEATURES = 1 << 12, 3
 CHUNK, STEP, SMOOTH, ROUNDS, HELD = 1 << 20, 0.5, 400.0, 8, 16
 PART = 1 << 15  # tokens whose softmax is in memory at a time
 BLOCK = 1 << 10  # feature rows that travel together
+MERGED, NUMBER = 1 << 22, 28  # histories that are merged at a time, and bits for their numbers
+LEAST = 1e-20  # smaller products of powers are not trusted
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -124,7 +127,7 @@ class Chunk:
 
     def held(self) -> np.ndarray:
         """By token, whether its text is one of those that tell when to stop."""
-        digest = mix(np.add.reduceat(mix(self.vocab[self.ids]), self.first)) if len(self.first) else np.zeros(0, np.uint64)
+        digest = mix(np.add.reduceat(mix(self.vocab)[self.ids], self.first)) if len(self.first) else np.zeros(0, np.uint64)
         return np.repeat(digest % np.uint64(HELD) == 0, self.length)
 
     def histories(self) -> tuple[np.ndarray, np.ndarray]:
@@ -238,16 +241,41 @@ class Model:
         low = np.uint64(BUCKETS - 1)
         return np.stack([mix(one + np.uint64(11)) & low, (mix(mix(one + np.uint64(13)) + two) & low) + np.uint64(BUCKETS), (mix(two + np.uint64(17)) & low) + np.uint64(2 * BUCKETS)]).astype(np.int64)
 
-    def weights(self, f: np.ndarray) -> np.ndarray:
-        """exp of the summed weights and bias: CLASSES rows of a number for each token."""
-        z = np.empty((CLASSES, f.shape[1]), np.float32)
-        for c in range(CLASSES):
-            w = self.w[c]
-            np.add(w[f[0]], w[f[1]], out=z[c])
-            z[c] += w[f[2]]
-            z[c] += np.float32(self.bias[c])
-        z -= z.max(0)
-        return np.exp(z, out=z)
+    def powers(self) -> np.ndarray:
+        """e to the weights: for each feature row one number a class, the largest 1. The bias is in those of the first feature."""
+        w = self.w.T.astype(np.float64, order="C")
+        w[:BUCKETS] += self.bias
+        return np.exp(w - w.max(1, keepdims=True)).astype(np.float32)
+
+    def logits(self, f: np.ndarray) -> np.ndarray:
+        """The summed weights and bias, for each token a row of classes, the largest 0."""
+        z = self.w[:, f].sum(1, dtype=np.float64).T + self.bias
+        return z - z.max(1, keepdims=True)
+
+    def odds(self, powers: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each token a row of numbers in proportion to its classes' probabilities, and their sum: products of powers, or by the logits
+        where features contradict each other so much that products vanish."""
+        p = powers.take(f[0], 0)
+        for rows in f[1:]:
+            p *= powers.take(rows, 0)
+        total = np.einsum("tc->t", p)
+        low = np.flatnonzero(total < LEAST)
+        if len(low):
+            p[low] = np.exp(self.logits(f[:, low]))
+            total[low] = p[low].sum(1)
+        return p, total
+
+    def class_logs(self, powers: np.ndarray, f: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """log P(class | history) of each token's class."""
+        p, total = self.odds(powers, f)
+        p = p[np.arange(len(y)), y]
+        low = np.flatnonzero(p < LEAST)
+        p[low] = 1
+        log = np.log(p.astype(np.float64) / total)
+        if len(low):
+            z = self.logits(f[:, low])
+            log[low] = z[np.arange(len(low)), y[low]] - np.log(np.exp(z).sum(1))
+        return log
 
     def pairs(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         """For each token a 64-bit key: 48 bits of (token before, class), 16 of the slot."""
@@ -299,51 +327,120 @@ def token_counts(chunks: DataFrame, most: int = OWN) -> tuple[Model, DataFrame]:
     return Model(int(total), int(distinct), most, h[order], np.append(at, 0)[order], mass, kind, buckets=1 + total // CHUNK), got.select("chunk", "bucket", "data")
 
 
-def summed(chunks: DataFrame, model: Model, expected: bool) -> tuple[np.ndarray, float]:
-    """For each feature row and class, over the training tokens that are learnt from: how often the class follows, or how often the weights
-    expect it. And the log-likelihood of the classes of those that are not."""
+def packed_rows(f: np.ndarray) -> bytes:
+    """Feature rows of tokens, each counted from its feature's first."""
+    return pack((f - BUCKETS * np.arange(FEATURES)[:, None]).astype(np.uint16).ravel())
+
+
+def unpacked_rows(b: bytes) -> np.ndarray:
+    return unpack(b, np.uint16).reshape(FEATURES, -1).astype(np.int64) + BUCKETS * np.arange(FEATURES)[:, None]
+
+
+def merged(keys: list[np.ndarray]) -> list[np.ndarray]:
+    """Histories that each stand once: in the upper bits what tells them apart, in the lower ones numbers that are added up."""
+    x = np.sort(np.concatenate(keys))
+    which = x >> np.uint64(NUMBER)
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), which[1:] != which[:-1])))
+    n = np.add.reduceat(x & np.uint64((1 << NUMBER) - 1), first) if len(x) else x
+    return [which[first] << np.uint64(NUMBER) | n]
+
+
+def histories(chunks: DataFrame, model: Model) -> DataFrame:
+    """What the rounds need of the training tokens, in rows for one chunk or more: the distinct histories of those that are learnt from, as
+    feature rows sorted by the first feature's, the number of tokens of each, and how often each class follows each feature row; and all
+    histories and classes of those that are not. In few partitions, as each adds up a model of its own in every round."""
     shared = chunks.sparkSession.sparkContext.broadcast(model)
-    width = FEATURES * BUCKETS
+    size, bits = CLASSES * FEATURES * BUCKETS, BUCKETS.bit_length() - 1
 
     def run(batches):
-        m, out, like = shared.value, np.zeros((CLASSES, width)), 0.0
+        m = shared.value
+        keys, shown, rest, ends, tokens = [], np.zeros(size, np.uint32), [], [], 0
+
+        def out():
+            key = merged(keys)[0]
+            f = np.stack([(key >> np.uint64(NUMBER + bits * (FEATURES - 1 - k))).astype(np.int64) % BUCKETS + BUCKETS * k for k in range(FEATURES)])
+            n = (key & np.uint64((1 << NUMBER) - 1)).astype(np.uint32)
+            blobs = packed_rows(f), pack(n), pack(shown), packed_rows(np.concatenate(rest, 1)), pack(np.concatenate(ends))
+            return pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in blobs], HISTORIES)
+
         for _, chunk in chunks_of(batches):
-            held = chunk.held()[chunk.on]
-            one, two = (x[chunk.on] for x in chunk.histories())
-            y = m.kind[m.slots(chunk)][chunk.ids[chunk.on]]
-            for lo in range(0, int(held.sum()), PART):
-                part, is_ = m.features(one[held][lo : lo + PART], two[held][lo : lo + PART]), y[held][lo : lo + PART]
-                p = m.weights(part)
-                like += float(np.log(p[is_, np.arange(len(is_))] / p.sum(0)).sum(dtype=np.float64))
-            one, two, y = one[~held], two[~held], y[~held]
-            if expected:  # the same for all tokens with one history
-                _, first, n = np.unique(mix(one + np.uint64(13)) + two, return_index=True, return_counts=True)
-                one, two = one[first], two[first]
-            for lo in range(0, len(one), PART):
-                part = m.features(one[lo : lo + PART], two[lo : lo + PART])
-                if not expected:
-                    for rows in part:
-                        np.add.at(out.reshape(-1), y[lo : lo + PART] * width + rows, 1)
-                    continue
-                p = m.weights(part)
-                p *= (n[lo : lo + PART] / p.sum(0)).astype(np.float32)
-                for k in range(CLASSES):
-                    for rows in part:
-                        out[k] += np.bincount(rows, p[k], width)
+            held, y = chunk.held()[chunk.on], m.kind[m.slots(chunk)][chunk.ids[chunk.on]]
+            f = m.features(*(x[chunk.on] for x in chunk.histories()))
+            rest.append(f[:, held])
+            ends.append(y[held].astype(np.uint8))
+            f, y = f[:, ~held], y[~held] * (FEATURES * BUCKETS)
+            for rows in f:
+                shown += np.bincount(y + rows, minlength=size).astype(np.uint32)
+            low, key = f & (BUCKETS - 1), np.uint64(0)
+            for rows in low:
+                key = key << np.uint64(bits) | rows.astype(np.uint64)
+            keys += merged([key << np.uint64(NUMBER) | np.uint64(1)])
+            tokens += int(chunk.on.sum())
+            if sum(map(len, keys)) >= MERGED or tokens >> NUMBER - 1:
+                yield out()
+                keys, shown, rest, ends, tokens = [], np.zeros(size, np.uint32), [], [], 0
+        if keys:
+            yield out()
+
+    schema = ", ".join(f"{c} binary" for c in HISTORIES)
+    out = written(chunks.select(*PACKED).mapInArrow(tidy(run), schema), "histories", "uncompressed")
+    shared.unpersist()
+    return out.coalesce(max(2 * chunks.sparkSession.sparkContext.defaultParallelism, -(-out.rdd.getNumPartitions() // 4)))
+
+
+HISTORIES = ["rows", "n", "shown", "held", "ends"]
+
+
+def expect(model: Model, powers: np.ndarray, f: np.ndarray, n: np.ndarray, out: np.ndarray) -> None:
+    """Add to out (classes by feature rows) how often the weights expect each class. f: feature rows sorted by the first feature's; n: the
+    number of tokens of each."""
+    for lo in range(0, len(n), PART):
+        part = f[:, lo : lo + PART]
+        p, total = model.odds(powers, part)
+        p = p.T.astype(np.float64, order="C")
+        p *= n[lo : lo + PART] / total
+        cut = np.flatnonzero(np.concatenate(([True], part[0, 1:] != part[0, :-1])))
+        out[:, part[0, cut]] += np.add.reduceat(p, cut, 1)
+        for k in range(1, FEATURES):
+            here, rows = slice(k * BUCKETS, (k + 1) * BUCKETS), part[k] - k * BUCKETS
+            for c in range(CLASSES):
+                out[c, here] += np.bincount(rows, p[c], BUCKETS)
+
+
+def summed(rows: DataFrame, model: Model, expected: bool) -> tuple[np.ndarray, float]:
+    """For each feature row and class, over the training tokens that are learnt from: how often the class follows, or how often the weights
+    expect it. And the log-likelihood of the classes of those that are not. rows: chunks, or their histories."""
+    rows = rows if "shown" in rows.columns else histories(rows, model)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    width, kind = FEATURES * BUCKETS, np.float32 if expected else np.float64
+
+    def run(batches):
+        m, out, like = shared.value, np.zeros((CLASSES, width)), 0.0
+        powers = m.powers()
+        for batch in batches:
+            for row in batch.to_pylist():
+                f, y = unpacked_rows(row["held"]), unpack(row["ends"], np.uint8)
+                for lo in range(0, len(y), PART):
+                    like += float(m.class_logs(powers, f[:, lo : lo + PART], y[lo : lo + PART]).sum())
+                if expected:
+                    expect(m, powers, unpacked_rows(row["rows"]), unpack(row["n"], np.uint32), out)
+                else:
+                    out += unpack(row["shown"], np.uint32).reshape(CLASSES, width)
         blocks = [out[:, lo : lo + BLOCK] for lo in range(0, width, BLOCK)]
         some = [i for i, b in enumerate(blocks) if b.any()]
-        data = [pack(blocks[i].ravel()) for i in some] + [pack(np.array([like]))]
+        data = [pack(blocks[i].ravel().astype(kind)) for i in some] + [pack(np.array([like]))]
         yield pa.RecordBatch.from_arrays([pa.array([*some, len(blocks)], pa.int64()), pa.array(data, pa.binary())], ["block", "data"])
 
     def add(batches):
         held = {}
         for batch in batches:
             for i, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[i] = held.get(i, 0) + unpack(d, np.float64)
+                held[i] = held.get(i, 0) + unpack(d, kind if i * BLOCK < width else np.float64).astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([pack(x) for x in held.values()], pa.binary())], ["block", "data"])
 
     schema = "block long, data binary"
-    rows = chunks.select(*PACKED).mapInArrow(tidy(run), schema).repartition(width // BLOCK, "block").mapInArrow(tidy(add), schema).collect()  # FEATURES x BUCKETS x CLASSES numbers
+    need = ["held", "ends", *(["rows", "n"] if expected else ["shown"])]
+    rows = rows.select(*need).mapInArrow(tidy(run), schema).repartition(width // BLOCK, "block").mapInArrow(tidy(add), schema).collect()  # FEATURES x BUCKETS x CLASSES numbers
     shared.unpersist()
     out, like = np.zeros((CLASSES, width)), 0.0
     for r in rows:
@@ -358,12 +455,12 @@ def summed(chunks: DataFrame, model: Model, expected: bool) -> tuple[np.ndarray,
 def trained(chunks: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     """The class weights after the round, of at most `rounds`, that the held texts like best; the search ends with the first that they like
     less. The first update needs no pass of its own: without weights a feature expects its share."""
-    prior = SMOOTH * np.exp(model.bias)[:, None]
-    shown, best = summed(chunks, model, False)
+    prior, rows = SMOOTH * np.exp(model.bias)[:, None], histories(chunks, model)
+    shown, best = summed(rows, model, False)
     kept, expected = model.w, shown.sum(0) * np.exp(model.bias)[:, None]
     for _ in range(rounds):
         model.w = (model.w + STEP * np.log((shown + prior) / (expected + prior))).astype(np.float32)
-        expected, like = summed(chunks, model, True)
+        expected, like = summed(rows, model, True)
         if like <= best:
             break
         kept, best = model.w, like
@@ -414,6 +511,7 @@ def score(df: DataFrame, train: Column, text: str = "text", keep=("doc_id",), ow
 
     def run(batches):
         m = shared.value
+        powers = m.powers()
         for batch in batches:
             lists = batch.column(at)
             for i, row in enumerate(batch.select([c for c in batch.schema.names if c != "rows"]).to_pylist()):
@@ -427,8 +525,7 @@ def score(df: DataFrame, train: Column, text: str = "text", keep=("doc_id",), ow
                 log += np.where(slot > m.most, np.log10((c + 1)[chunk.ids] / np.maximum(m.mass, 1)[slot]), 0.0)
                 one, two = chunk.histories()
                 for lo in range(0, len(one), PART):
-                    p, y = m.weights(m.features(one[lo : lo + PART], two[lo : lo + PART])), m.kind[slot[lo : lo + PART]]
-                    log[lo : lo + PART] += np.log10(p[y, np.arange(len(y))] / p.sum(0))
+                    log[lo : lo + PART] += m.class_logs(powers, m.features(one[lo : lo + PART], two[lo : lo + PART]), m.kind[slot[lo : lo + PART]]) / np.log(10)
                 known = (c > 0)[chunk.ids].astype(np.int64)
                 base = np.log10((c + 1) / (m.total + m.distinct + 1))[chunk.ids]
                 sums = [pa.array(chunk.length)] + [pa.array(np.add.reduceat(x, chunk.first)) for x in (known, base, log)]
